@@ -4,19 +4,59 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from claimstead.llm.common import read_table
+from claimstead.llm.bpe_fst import encode_decode
+from claimstead.llm.chat_format import format_conversations, read_formatted
+from claimstead.llm.common import read_table, stored
+from claimstead.llm.hilbert_neighbours import nearest
+from claimstead.llm.language_id import language_id
 from claimstead.llm.packing import best_fit_pack
+from claimstead.llm.personal_data import BASE, count_of, find_personal_data, span_list
+from claimstead.llm.quality_rules import quality_rules
 from claimstead.llm.token_store import store_documents
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(read_table(spark, sf_dir, "documents"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read_table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    counts = [count_of(spans, k).alias(f"n_{k}") for k in BASE]
+    base = F.filter(spans, lambda x: x["kind"].isin(*BASE))
+    scores = F.array_join(F.transform(spans, lambda x: x["score"].cast("string")), ",").alias("scores")
+    found = find_personal_data(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *counts, F.sha2(span_list(base), 256).alias("base_sha256"), span_list(spans).alias("spans"), scores)
+
+
+def op6_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    return read_formatted(stored(format_conversations(rows.unionByName(added)), "chat"))
+
+
+def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_quality_rules, op4_best_fit_packing, op5_personal_data, op6_hilbert_neighbours, op7_chat_format, op8_bpe_transducer, op10_token_store)}
 ORACLE_SQL: dict[str, str] = {}
