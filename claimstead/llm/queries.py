@@ -12,6 +12,7 @@ from claimstead.llm.common import read_table, stored
 from claimstead.llm.hilbert_neighbours import nearest
 from claimstead.llm.language_id import language_id
 from claimstead.llm.packing import best_fit_pack
+from claimstead.llm.parity_join import similar_documents
 from claimstead.llm.personal_data import BASE, count_of, find_personal_data, span_list
 from claimstead.llm.quality_rules import quality_rules
 from claimstead.llm.token_store import store_documents
@@ -54,9 +55,14 @@ def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = similar_documents(read_table(spark, sf_dir, "documents"), size=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_quality_rules, op4_best_fit_packing, op5_personal_data, op6_hilbert_neighbours, op7_chat_format, op8_bpe_transducer, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_quality_rules, op4_best_fit_packing, op5_personal_data, op6_hilbert_neighbours, op7_chat_format, op8_bpe_transducer, op9_parity_join, op10_token_store)}
 ORACLE_SQL: dict[str, str] = {}
