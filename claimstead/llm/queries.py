@@ -15,9 +15,14 @@ from claimstead.llm.packing import best_fit_pack
 from claimstead.llm.parity_join import similar_documents
 from claimstead.llm.personal_data import BASE, count_of, find_personal_data, span_list
 from claimstead.llm.quality_rules import quality_rules
+from claimstead.llm.suffix_dedup import remove_repeats
 from claimstead.llm.token_store import store_documents
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents"), ["doc_id"]).drop("kept_text")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read_table(spark, sf_dir, "documents"))
 
@@ -64,5 +69,5 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_quality_rules, op4_best_fit_packing, op5_personal_data, op6_hilbert_neighbours, op7_chat_format, op8_bpe_transducer, op9_parity_join, op10_token_store)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_quality_rules, op4_best_fit_packing, op5_personal_data, op6_hilbert_neighbours, op7_chat_format, op8_bpe_transducer, op9_parity_join, op10_token_store)}
 ORACLE_SQL: dict[str, str] = {}
