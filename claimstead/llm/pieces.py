@@ -11,10 +11,10 @@ from __future__ import annotations
 from array import array
 from collections.abc import Callable, Iterable
 
-_LIMIT = 800_000
+_LIMIT = 500_000
 _LONGEST = 48
-#: A letter run and one mark after it are two matches of the pattern.
-_MARKS = frozenset(".,;:!?")
+#: A letter run and a run of marks after it are two matches of the pattern.
+_MARKS = ".,;:!?#$%&*()[]{}<>|/\\-+=_~^@\"`"
 
 Encode = Callable[[str], Iterable[int]]
 
@@ -26,25 +26,47 @@ class _Irregular(Exception):
 class _Table(dict):
     """piece -> its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, prefix: str, whole: Encode, word: Encode):
+    def __init__(self, prefix: str, whole: Encode, word: Encode, after_line: _Table | None = None):
+        """prefix: what stands before each piece. after_line: the table of pieces without anything before them."""
         super().__init__()
         self.prefix, self.whole, self.word = prefix, whole, word
+        self.after_line = self if after_line is None else after_line
+        self.older: dict[str, bytes] = {}  # what was kept before the table was last full
+        self.marks: dict[str, bytes] = {}
+        self.line_end = pack(word("\n"))
+
+    def _marks(self, run: str) -> bytes:
+        if run not in self.marks:
+            if len(self.marks) >= 10_000:
+                self.marks.clear()
+            self.marks[run] = pack(self.word(run))
+        return self.marks[run]
 
     def __missing__(self, piece: str) -> bytes:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise _Irregular
+        if (ids := self.older.get(piece)) is not None:
+            self._keep(piece, ids)
+            return ids
         if piece.isalpha():
             ids = pack(self.word(self.prefix + piece))
-        elif piece[-1] in _MARKS and piece[:-1].isalpha():
-            return self[piece[:-1]] + pack(self.word(piece[-1]))
+        elif (letters := piece.rstrip(_MARKS)).isalpha():
+            ids = self[letters] + self._marks(piece[len(letters) :])
+        elif "\n" in piece:  # between two non-spaces it is a match by itself
+            head, *lines = piece.split("\n")
+            return self[head] + b"".join(self.line_end + self.after_line[x] for x in lines)
         else:
             ids = pack(self.whole(self.prefix + piece))
         if len(piece) <= _LONGEST:
-            if len(self) >= _LIMIT:
-                self.clear()
-            self[piece] = ids
+            self._keep(piece, ids)
         return ids
 
+    def _keep(self, piece: str, ids: bytes) -> None:
+        if len(self) >= _LIMIT:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+
 
 def pack(ids: Iterable[int]) -> bytes:
     return array("I", ids).tobytes()
@@ -54,7 +76,8 @@ class PieceEncoder:
     def __init__(self, whole: Encode, word: Encode | None = None, special: str | None = None):
         """whole: text -> its ids. word: the same for one match of the pattern. Texts holding special are not taken apart."""
         self.whole, self.special = whole, special
-        self.first, self.rest = _Table("", whole, word or whole), _Table(" ", whole, word or whole)
+        self.first = _Table("", whole, word or whole)
+        self.rest = _Table(" ", whole, word or whole, self.first)
 
     def __call__(self, text: str | None) -> bytes:
         """The ids of the text as little-endian unsigned 32-bit integers; none for null or empty."""
