@@ -84,7 +84,7 @@ def find_terms(text: Column, terms: list[str], asserted: bool = False) -> Column
 
 def _pattern_column(term: Column) -> Column:
     """pattern_of() for a column of terms; terms hold letters, digits, blanks, hyphens, dots and ampersands."""
-    words = F.regexp_replace(F.regexp_replace(F.trim(term), r"([.&+*?()])", r"\\\\$1"), r"[\s\-]+", r"[\\\\s\\\\-]+")
+    words = F.regexp_replace(F.regexp_replace(F.trim(term), r"([.&+*?()])", r"\\$1"), r"[\s\-]+", r"[\\s\\-]+")
     return F.concat(F.lit(r"(?iU)(?<!\w)"), words, F.lit(r"(?!\w)"))
 
 
