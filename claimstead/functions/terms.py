@@ -8,6 +8,7 @@ are worked out for the terms that are there, not for all.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,18 +55,29 @@ def matches(text: Column, pattern: Column | str, group: int = 0) -> Column:
     return F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value written and worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def negated(text: Column, start: Column) -> Column:
     """Whether what begins at `start` is denied earlier in its clause."""
-    before = F.substring(text, F.greatest(start - LOOK_BACK, F.lit(0)) + 1, F.least(start, F.lit(LOOK_BACK)))
     ends = "".join("\\" + c if c in ".?|" else c for c in CLAUSE_ENDS)
-    clause = F.regexp_extract(before, f"[^{ends}]*$", 0)
-    # a window that opens inside a word loses that word
-    cut = (F.length(clause) == LOOK_BACK) & (start > LOOK_BACK) & F.substring(text, start - LOOK_BACK, F.lit(1)).rlike(r"(?U)\w")
-    words = F.regexp_extract_all(F.replace(F.lower(clause), F.lit("'"), F.lit("")), F.lit(r"(?U)\w+"), F.lit(0))
-    words = F.when(cut, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(words)
-    last = lambda n: F.slice(words, F.greatest(F.size(words) - n + 1, F.lit(1)), F.lit(n))
     lists = lambda xs: F.array(*map(F.lit, xs))
-    return F.arrays_overlap(last(CLAUSE_TOKENS), lists(CLAUSE_NEGATORS)) | F.arrays_overlap(last(LOCAL_TOKENS), lists(LOCAL_NEGATORS))
+
+    def denied(words: Column) -> Column:
+        last = lambda n: F.slice(words, F.greatest(F.size(words) - n + 1, F.lit(1)), F.lit(n))
+        return F.arrays_overlap(last(CLAUSE_TOKENS), lists(CLAUSE_NEGATORS)) | F.arrays_overlap(last(LOCAL_TOKENS), lists(LOCAL_NEGATORS))
+
+    def of_clause(clause: Column) -> Column:
+        # a window that opens inside a word loses that word
+        cut = (F.length(clause) == LOOK_BACK) & (start > LOOK_BACK) & F.substring(text, start - LOOK_BACK, F.lit(1)).rlike(r"(?U)\w")
+        words = F.regexp_extract_all(F.replace(F.lower(clause), F.lit("'"), F.lit("")), F.lit(r"(?U)\w+"), F.lit(0))
+        whole = lambda w: F.when(cut, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0)))).otherwise(w)
+        return _bound(_bound(words, whole), denied)
+
+    before = F.substring(text, F.greatest(start - LOOK_BACK, F.lit(0)) + 1, F.least(start, F.lit(LOOK_BACK)))
+    return _bound(F.regexp_extract(before, f"[^{ends}]*$", 0), of_clause)
 
 
 _NONE = "CAST(array() AS array<string>)"
@@ -82,6 +94,24 @@ def find_terms(text: Column, terms: list[str], asserted: bool = False) -> Column
     return F.when(text.rlike(any_of(terms)), present).otherwise(F.expr(_NONE))
 
 
+_HITS = "CAST(array() AS array<struct<key:string,term:string>>)"
+
+
+def find_many(text: Column, banks: dict[str, list[str]]) -> Column:
+    """array<struct<key, term>>: the asserted terms of several banks. One array, so that denial is written once for all."""
+    parts = []
+    for key, terms in banks.items():
+        if terms:
+            each = F.array(*(F.when(text.rlike(pattern_of(t)), F.struct(F.lit(key).alias("key"), F.lit(t).alias("term"))) for t in terms))
+            parts.append(F.when(text.rlike(any_of(terms)), F.array_compact(each)).otherwise(F.expr(_HITS)))
+    found = F.concat(*parts) if parts else F.expr(_HITS)
+    return F.filter(found, lambda x: F.exists(matches(text, _pattern_column(x["term"])), lambda m: ~negated(text, m["start"])))
+
+
+def terms_of(hits: Column, key: str) -> Column:
+    return F.transform(F.filter(hits, lambda x: x["key"] == key), lambda x: x["term"])
+
+
 def _pattern_column(term: Column) -> Column:
     """pattern_of() for a column of terms; terms hold letters, digits, blanks, hyphens, dots and ampersands."""
     words = F.regexp_replace(F.regexp_replace(F.trim(term), r"([.&+*?()])", r"\\$1"), r"[\s\-]+", r"[\\s\\-]+")

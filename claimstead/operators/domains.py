@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimstead.functions.taxonomy import DOMAINS, EDUCATION_TAIL, EDUCATION_TRIGGERS, FACETS, GATED, SENTENCE_ENDS, SUPPORTS
-from claimstead.functions.terms import find_terms, matches
+from claimstead.functions.terms import find_many, matches, terms_of
 
 
 def education_spans(text: Column) -> Column:
@@ -30,12 +30,12 @@ def education_text(text: Column) -> Column:
 def with_domains(subjects: DataFrame) -> DataFrame:
     """Adds `domains`: of each domain with any asserted marker its name, claims, credentials and roles."""
     rows = subjects.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_edu", education_text(F.col("_text")))
-    each = []
-    for name, d in DOMAINS.items():
-        facets = [find_terms(F.col("_edu" if f == "credentials" else "_text"), d[f], asserted=True).alias(f) for f in FACETS]
-        each.append(F.struct(F.lit(name).alias("domain"), *facets))
+    on_text = {f"{d}/{f}": x[f] for d, x in DOMAINS.items() for f in FACETS if f != "credentials"}
+    on_training = {f"{d}/credentials": x["credentials"] for d, x in DOMAINS.items()}
+    rows = rows.withColumn("_hits", F.concat(find_many(F.col("_text"), on_text), find_many(F.col("_edu"), on_training)))
+    each = [F.struct(F.lit(d).alias("domain"), *(terms_of(F.col("_hits"), f"{d}/{f}").alias(f) for f in FACETS)) for d in DOMAINS]
     some = F.filter(F.array(*each), lambda d: F.size(d["claims"]) + F.size(d["credentials"]) + F.size(d["roles"]) > 0)
-    return rows.withColumn("domains", some).drop("_text", "_edu")
+    return rows.withColumn("domains", some).drop("_text", "_edu", "_hits")
 
 
 def claimed_domain(domains: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimstead.functions.banks import BANKS, PASSED, TRIGGERED, UNKNOWN
-from claimstead.functions.terms import find_non_overlapping, find_terms, word_count
+from claimstead.functions.terms import find_many, find_non_overlapping, find_terms, terms_of, word_count
 from claimstead.functions.text import host_matches
 from claimstead.operators import claims as cl
 from claimstead.operators import domains as dm
@@ -77,7 +77,9 @@ def with_features(subjects: DataFrame, banks: dict[str, list[str]] | None = None
         rows = rows.withColumn("claims", F.transform("claims", lambda c: c.withField("status", F.lit("UNCHECKED"))))
     rows = dm.with_domains(rows)
     text = F.col("text")
-    terms = {f"_{k}": find_terms(text, b[k], asserted=True) for k in ("vague_partnership", "concrete_partnership", "building_claims", "traction", "funding_ask", "deep_collab", "external_validation", "press_outlets")}
+    asserted = ("vague_partnership", "concrete_partnership", "building_claims", "traction", "funding_ask", "deep_collab", "external_validation", "press_outlets")
+    rows = rows.withColumn("_asserted", find_many(text, {k: b[k] for k in asserted}))
+    terms = {f"_{k}": terms_of(F.col("_asserted"), k) for k in asserted}
     rows = rows.withColumns({"_titles": find_terms(text, b["leadership_titles"]), "_tech": find_terms(text, b["tech_claims"]), "_hype": find_non_overlapping(text, b["buzzwords"]), **terms})
     sets = {"_owned": cl.owned_orgs(F.col("claims")), "_partners": cl.partner_orgs(F.col("claims"))}
     outside = F.filter("source_urls", lambda u: ~host_matches(u, b["self_published_domains"]) & ~host_matches(u, b["aggregator_domains"]))
