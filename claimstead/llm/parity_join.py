@@ -6,7 +6,7 @@ in one but not the other (D follows from the largest size of the group). Every s
 sketch, so the Hamming distance of two sketches is at most that difference; a sketch of more than D blocks
 thus has equal blocks in both (pigeonhole), and block contents are the keys of the join.
 
-Blocks with one or two bits set say little and are shared by chance. A group has some blocks more than D+1,
+Blocks with no bit or one say little and are shared by chance. A group has some blocks more than D+1,
 so that weak ones can be left out as long as there are no more of them than that; a document with more
 takes part in a second and third sketch with other hashes, and in the last of them with all blocks. Two
 linked documents whose equal blocks are all weak both have too many weak ones, so both go on: no link is
@@ -40,10 +40,11 @@ from claimstead.llm.common import durable, stored
 from claimstead.llm.components import components
 
 WIDTH = 256
-WEAK, LEVELS, SPARE = 2, 3, 0.12
+WEAK, LEVELS, SPARE = 1, 3, 0.12
 CHECK_BITS = 1024
 FLUSH = 1_000_000
 TILE = 2048
+BROADCAST = 500_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -118,9 +119,9 @@ def block_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
     """The keys of the join for a set."""
     out = []
     for group, apart, blocks in bands(percent).groups(len(tokens)):
-        spare, weak = blocks - apart - 1, WEAK if len(tokens) >= 12 else 1
+        spare = blocks - apart - 1
         for level in range(LEVELS):
-            h = mixed(tokens + np.uint64(level + 1) * _M1)
+            h = mixed(tokens + np.uint64((level + 1) * int(_M1) % (1 << 64)))
             place = (h >> np.uint64(32)) % np.uint64(blocks) * np.uint64(WIDTH) + (h & np.uint64(WIDTH - 1))
             bits = np.bincount(place.astype(np.int64), minlength=blocks * WIDTH) & 1
             set_bits = bits.reshape(blocks, WIDTH).sum(1)
@@ -128,7 +129,7 @@ def block_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
             keys = np.arange(blocks, dtype=np.uint64) + np.uint64(group * LEVELS + level << 32)
             for k in range(WIDTH // 64):
                 keys = mixed(keys * _M1 + words[:, k])
-            strong = set_bits > weak
+            strong = set_bits > WEAK
             if (~strong).sum() <= spare:
                 out.append(keys[strong])
                 break
@@ -145,18 +146,24 @@ def node_of(tokens: np.ndarray) -> int:
     return int.from_bytes(blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _multiple(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorts by key and node, drops repeats; also says which entries share their key with another."""
+def _groups(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted by key and node without repeats; and for each key where its entries begin."""
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
-    return keys[new], nodes[new]
+    keys, nodes = keys[new], nodes[new]
+    return keys, nodes, np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
 
 
-def _shared(keys: np.ndarray) -> np.ndarray:
-    same = keys[1:] == keys[:-1]
-    return np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(keys) else np.zeros(0, bool)
+def _telling(nodes: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Which entries to keep: those of keys with several classes, one key for each set of classes."""
+    sizes = np.diff(np.append(heads, len(nodes)))
+    sets = np.add.reduceat(mixed(nodes.view(np.uint64)), heads) + sizes.astype(np.uint64)
+    _, first = np.unique(sets, return_index=True)
+    keep = np.zeros(len(heads), bool)
+    keep[first] = True
+    return np.repeat(keep & (sizes > 1), sizes)
 
 
 _STAGED = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("key", pa.int64()), ("sketch", pa.binary()), ("keys", pa.binary()), ("nodes", pa.binary())])
@@ -171,7 +178,7 @@ def _rows(**columns) -> pa.RecordBatch:
 def _members(keys: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(keys), 50_000):
         part = keys[at : at + 50_000]
-        yield _rows(kind=["member"] * len(part), key=part.view(np.int64), node=nodes[at : at + 50_000])
+        yield _rows(kind=["member"] * len(part), bucket=(part >> np.uint64(32)).astype(np.int32), key=part.view(np.int64), node=nodes[at : at + 50_000])
 
 
 def _staged(docs: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
@@ -181,19 +188,19 @@ def _staged(docs: DataFrame, size: int, percent: int, buckets: int) -> DataFrame
         held_keys, held_nodes, held = [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            keys, nodes = _multiple(np.concatenate(held_keys), np.concatenate(held_nodes))
-            shared = _shared(keys)
-            yield from _members(keys[shared], nodes[shared])
-            first = np.ones(len(keys), bool)
-            first[1:] = keys[1:] != keys[:-1]
-            keys, nodes = keys[first], nodes[first]
-            bucket = (keys % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            ends = np.cumsum(np.bincount(bucket, minlength=buckets))
-            for b, (start, end) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+            all_keys = np.concatenate(held_keys)
+            # the bucket and 32 bits name a key; should two meet, a comparison too many is made
+            bucket = (all_keys % np.uint64(buckets)).astype(np.int64)
+            all_keys = bucket.astype(np.uint64) << np.uint64(32) | mixed(all_keys) >> np.uint64(32)
+            keys, nodes, heads = _groups(all_keys, np.repeat(np.array(held_nodes), [len(k) for k in held_keys]))
+            tell = _telling(nodes, heads)
+            yield from _members(keys[tell], nodes[tell])
+            keys, nodes = keys[heads], nodes[heads]
+            edges = np.searchsorted(keys >> np.uint64(32), np.arange(buckets + 1))
+            for b, (start, end) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                 if end > start:
-                    part = order[start:end]
-                    yield _rows(kind=["blob"], bucket=[b], keys=[keys[part].tobytes()], nodes=[nodes[part].tobytes()])
+                    table, index = np.unique(nodes[start:end], return_inverse=True)
+                    yield _rows(kind=["blob"], bucket=[b], keys=[keys[start:end].astype(np.uint32).tobytes()], nodes=[table.tobytes() + index.astype(np.uint16).tobytes()], n=[len(table)])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
@@ -208,10 +215,10 @@ def _staged(docs: DataFrame, size: int, percent: int, buckets: int) -> DataFrame
                     keys = block_keys(tokens, percent)
                     if len(keys):
                         held_keys.append(keys)
-                        held_nodes.append(np.full(len(keys), node))
+                        held_nodes.append(node)
                         held += len(keys)
                 yield _rows(kind=["doc"] * len(ns), bucket=[n % buckets for n in nodes], doc_id=part.column(0), n=ns, node=nodes, sketch=sketches)
-                if held >= FLUSH:
+                if held >= FLUSH or len(held_nodes) >= 60_000:  # classes of a blob are numbered in 16 bits
                     yield from flush()
                     held_keys, held_nodes, held = [], [], 0
         if held:
@@ -221,21 +228,22 @@ def _staged(docs: DataFrame, size: int, percent: int, buckets: int) -> DataFrame
         at, keys, nodes = None, [], []
 
         def found() -> Iterator[pa.RecordBatch]:
-            k, n = _multiple(np.concatenate(keys), np.concatenate(nodes))
-            shared = _shared(k)
-            yield from _members(k[shared], n[shared])
+            k, n, heads = _groups(np.concatenate(keys) | np.uint64(at << 32), np.concatenate(nodes))
+            tell = _telling(n, heads)
+            yield from _members(k[tell], n[tell])
 
         for batch in batches:
             kinds = np.array(batch.column("kind").to_pylist())
             yield batch.filter(pa.array(kinds != "blob"))
             blobs = batch.filter(pa.array(kinds == "blob"))
-            for b, k, n in zip(blobs.column("bucket").to_pylist(), blobs.column("keys"), blobs.column("nodes"), strict=True):
+            for b, k, n, size in zip(blobs.column("bucket").to_pylist(), blobs.column("keys"), blobs.column("nodes"), blobs.column("n").to_pylist(), strict=True):
                 if b != at and keys:
                     yield from found()
                     keys, nodes = [], []
                 at = b
-                keys.append(np.frombuffer(k.as_buffer(), np.uint64))
-                nodes.append(np.frombuffer(n.as_buffer(), np.int64))
+                packed = n.as_buffer().to_pybytes()
+                keys.append(np.frombuffer(k.as_buffer(), np.uint32).astype(np.uint64))
+                nodes.append(np.frombuffer(packed, np.int64, size)[np.frombuffer(packed, np.uint16, offset=8 * size)])
         if keys:
             yield from found()
 
@@ -260,26 +268,38 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, compared exactly. pairs is read more than once."""
+def _sets(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """node, tokens of the classes in the pairs (a, b), from their texts.
+
+    Up to BROADCAST classes are named to all tasks, so that no text moves; of more the texts are shuffled.
+    """
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    needed = needed.join(reps, "node").select("node", F.col("rep").alias("doc_id"))
+    needed = durable(needed.join(nodes, "node").select("node", F.col("rep").alias("doc_id")))
+    if needed.count() <= BROADCAST:
+        needed = F.broadcast(needed)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.join(needed, F.equal_null(texts["doc_id"], needed["doc_id"])).select("node", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                nodes, found = [], []
+                found_nodes, found = [], []
                 for node, text in zip(part.column("node").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    tokens = shingles(text, size)
-                    if node_of(tokens) == node:  # an id may be on several rows
-                        nodes.append(node)
-                        found.append(tokens.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], ["node", "tokens"])
+                    if node not in seen:
+                        tokens = shingles(text, size)
+                        if node_of(tokens) == node:  # an id may be on several rows
+                            seen.add(node)
+                            found_nodes.append(node)
+                            found.append(tokens.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(found_nodes, pa.int64()), pa.array(found, pa.binary())], ["node", "tokens"])
+
+    return stored(texts.mapInArrow(sets, "node long, tokens binary").dropDuplicates(["node"]), "shingles")
 
-    tokens = stored(texts.mapInArrow(sets, "node long, tokens binary").dropDuplicates(["node"]), "shingles")
+
+def _linked(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link, compared exactly."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,11 +312,14 @@ def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, perce
 
     b = tokens.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
     a = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long").distinct()
+
 
+def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of classes that share a key but not yet a component, where sketches allow a link.
 
-def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes that share a key but not yet a component, where sketches allow a link."""
+    nearest: for each class only its nearest of every other component in its tile.
+    """
     marked = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = marked.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("size")).where("l0 != l1")
     rows = marked.join(open_.select("key", "size"), "key")
@@ -319,7 +342,12 @@ def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: in
                 y = right[(label[right] != label[x]) & (node[right] > node[x] if i == j else True)]
                 y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
                 if len(y):
-                    y = y[np.bitwise_count(s[y] ^ s[x]).sum(1, dtype=np.int64) <= (100 - percent) * (n[y] + n[x]) // (100 + percent)]
+                    apart = np.bitwise_count(s[y] ^ s[x]).sum(1, dtype=np.int64)
+                    ok = apart <= (100 - percent) * (n[y] + n[x]) // (100 + percent)
+                    y, apart = y[ok], apart[ok]
+                if len(y) and nearest:
+                    y = y[np.lexsort((node[y], apart))]
+                    y = y[np.unique(label[y], return_index=True)[1]]
                 if len(y):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[y], node[x])), pa.array(np.maximum(node[y], node[x]))], ["a", "b"])
 
@@ -352,13 +380,17 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
     members = durable(staged.where("kind = 'member'").select("key", "node").distinct())
     least = members.groupBy("key").agg(F.min("node").alias("a"))
     pairs = members.join(least, "key").where("node != a").select("a", F.col("node").alias("b")).distinct()
-    pairs = durable(_near(pairs, nodes, percent))
-    edges = durable(_linked(pairs, docs, nodes.select("node", "rep"), size, percent))
+    tried = durable(_near(pairs, nodes, percent))
+    edges = durable(_linked(tried, _sets(docs, tried, nodes, size), percent))
     labels = components(edges)
-    more = _across(members, labels, nodes.select("node", "n", "sketch"), percent).join(pairs, ["a", "b"], "left_anti")
-    more = durable(more)
-    if not more.isEmpty():
-        edges = durable(edges.unionByName(_linked(more, docs, nodes.select("node", "rep"), size, percent)))
+    # what is left: first the nearest of every other component, which joins most of them; then whatever remains
+    for nearest in (True, False):
+        more = _across(members, labels, nodes.select("node", "n", "sketch"), percent, nearest).join(tried, ["a", "b"], "left_anti")
+        more = durable(more)
+        if more.isEmpty():
+            break
+        tried = durable(tried.unionByName(more))
+        edges = durable(edges.unionByName(_linked(more, _sets(docs, more, nodes, size), percent)))
         labels = components(edges)
     classes = nodes.join(labels, "node", "left").select("node", F.col("rep").alias("class_id"), F.coalesce("label", "node").alias("label"))
     least = classes.groupBy("label").agg(F.min("class_id").alias("component_id"))
