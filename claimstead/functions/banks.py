@@ -130,9 +130,9 @@ def with_overrides(overrides: dict | None) -> dict[str, list[str]]:
 
 
 def read_banks(path: str | None = None) -> dict[str, list[str]]:
-    """From the file given, else the one named in $LARP_KEYWORDS, else ./keywords.json; unreadable: the defaults."""
+    """From the file given, else the one named in $CLAIMSTEAD_KEYWORDS, else ./keywords.json; unreadable: the defaults."""
     try:
-        with open(path or os.environ.get("LARP_KEYWORDS") or "keywords.json", encoding="utf-8") as f:
+        with open(path or os.environ.get("CLAIMSTEAD_KEYWORDS") or "keywords.json", encoding="utf-8") as f:
             return with_overrides(json.load(f))
     except (OSError, ValueError, AttributeError):
         return with_overrides(None)

@@ -21,7 +21,7 @@ def with_report(audited: DataFrame, timestamp: str, mode: str = "batch-text", ta
     v = F.col("verdict")
     report = F.struct(
         F.lit(SCHEMA).alias("schema"), F.col(target).alias("target"), F.lit(mode).alias("mode"), F.lit(timestamp).alias("timestamp"), F.col("verified"), v["level"].alias("level"),
-        v["score"].alias("larp_score"), v["raw_score"].alias("raw_score"), v["scored"].alias("scored"), v["coverage"].alias("evidence_coverage_pct"),
+        v["score"].alias("score"), v["raw_score"].alias("raw_score"), v["scored"].alias("scored"), v["coverage"].alias("evidence_coverage_pct"),
         cl.specificity(F.col("text")).alias("specificity_index"), word_count(F.col("text")).alias("word_count"), F.transform("flags", flag).alias("flags"), F.col("claims"), F.col("source_urls").alias("sources"),
     )
     return audited.withColumn("report", report)
@@ -61,7 +61,7 @@ def escaped(text: Column) -> Column:
 
 
 def _score(r: Column) -> Column:
-    return F.coalesce(F.concat(r["larp_score"].cast("string"), F.lit("/100")), F.lit("n/a"))
+    return F.coalesce(F.concat(r["score"].cast("string"), F.lit("/100")), F.lit("n/a"))
 
 
 def markdown(reported: DataFrame) -> Column:

@@ -36,6 +36,6 @@ def summary(audited: DataFrame, target: str = "subject_name") -> DataFrame:
     """The seven columns of a batch, but for the time of the run, which is the caller's."""
     hit = F.size(F.filter("flags", lambda f: f["status"] == "TRIGGERED"))
     return audited.select(
-        F.col(target).alias("target"), F.col("verdict.level").alias("level"), F.col("verdict.score").alias("larp_score"), F.col("verdict.coverage").alias("coverage_pct"),
+        F.col(target).alias("target"), F.col("verdict.level").alias("level"), F.col("verdict.score").alias("score"), F.col("verdict.coverage").alias("coverage_pct"),
         cl.specificity(F.col("text")).alias("specificity"), hit.cast("long").alias("triggered_flags"),
     )

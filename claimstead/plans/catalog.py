@@ -320,6 +320,6 @@ query("report_caveats")(lambda s, d: (r := _reported(s, d)).select("subject_id",
 query("report_terminal")(lambda s, d: (r := _reported(s, d)).select("subject_id", rp.terminal(r).alias("text")))
 query("report_markdown")(lambda s, d: (r := _reported(s, d)).select("subject_id", rp.markdown(r).alias("markdown")))
 query("report_html")(lambda s, d: (r := _reported(s, d)).select("subject_id", rp.html(r).alias("html")))
-query("batch_csv")(lambda s, d: au.summary(audited(s, d)).withColumn("timestamp", F.lit(STAMP)).select(F.to_csv(F.struct("target", "level", "larp_score", "coverage_pct", "specificity", "triggered_flags", "timestamp")).alias("line")))
+query("batch_csv")(lambda s, d: au.summary(audited(s, d)).withColumn("timestamp", F.lit(STAMP)).select(F.to_csv(F.struct("target", "level", "score", "coverage_pct", "specificity", "triggered_flags", "timestamp")).alias("line")))
 query("audit_list", "SELECT 'f' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS file_name FROM orders ORDER BY 1 DESC LIMIT 20")(lambda s, d: rp.latest(s.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit("f"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("file_name"))))
 query("slug", "SELECT c_custkey AS subject_id, coalesce(nullif(substr(regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40), ''), 'audit') AS slug FROM customer")(lambda s, d: s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("subject_id"), tx.slug(F.col("c_name")).alias("slug")))
