@@ -16,8 +16,9 @@ Documents with equal sets are one class. Of the classes that share a key each is
 (a star, not all pairs), exactly, on the sets. Where classes that share a key are then still in different
 components, they are compared with each other: sketches first, in tiles of fixed size, then the sets.
 
-Keys and classes travel packed, a blob for each task and bucket of keys. What is shuffled row by row are
-only keys that several classes have, so documents without a partner cost their blobs alone.
+Keys and classes travel packed, a blob with every key of every class for each task and bucket of keys. Only
+where all classes of a key are together are keys without a partner left out, and equal sets of classes named
+once; what is shuffled row by row are those sets, so documents without a partner cost their blobs alone.
 
 Defined results: null or blank texts have an empty set and link with nothing; with fewer words than a
 shingle the whole sequence is the one shingle; repeated rows stand each for itself and are one class; rows
@@ -156,14 +157,15 @@ def _groups(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys, nodes, np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
 
 
-def _telling(nodes: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """Which entries to keep: those of keys with several classes, one key for each set of classes."""
+def _shared(nodes: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(name, class) of the sets of several classes that share a key, each set once; needs all classes of the keys.
+
+    A set is named by a hash of its classes; should two meet, comparisons too many are made.
+    """
     sizes = np.diff(np.append(heads, len(nodes)))
     sets = np.add.reduceat(mixed(nodes.view(np.uint64)), heads) + sizes.astype(np.uint64)
-    _, first = np.unique(sets, return_index=True)
-    keep = np.zeros(len(heads), bool)
-    keep[first] = True
-    return np.repeat(keep & (sizes > 1), sizes)
+    several = np.repeat(sizes > 1, sizes)
+    return _groups(np.repeat(sets, sizes)[several], nodes[several])[:2]
 
 
 _STAGED = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("key", pa.int64()), ("sketch", pa.binary()), ("keys", pa.binary()), ("nodes", pa.binary())])
@@ -178,11 +180,11 @@ def _rows(**columns) -> pa.RecordBatch:
 def _members(keys: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(keys), 50_000):
         part = keys[at : at + 50_000]
-        yield _rows(kind=["member"] * len(part), bucket=(part >> np.uint64(32)).astype(np.int32), key=part.view(np.int64), node=nodes[at : at + 50_000])
+        yield _rows(kind=["member"] * len(part), key=part.view(np.int64), node=nodes[at : at + 50_000])
 
 
 def _staged(docs: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
-    """Rows of three kinds: doc (doc_id, n, node, sketch), member (key, node) of keys that several classes have."""
+    """Rows of two kinds: doc (doc_id, n, node, sketch), member (key, node) of the sets of classes that share a key."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_keys, held_nodes, held = [], [], 0
@@ -192,10 +194,7 @@ def _staged(docs: DataFrame, size: int, percent: int, buckets: int) -> DataFrame
             # the bucket and 32 bits name a key; should two meet, a comparison too many is made
             bucket = (all_keys % np.uint64(buckets)).astype(np.int64)
             all_keys = bucket.astype(np.uint64) << np.uint64(32) | mixed(all_keys) >> np.uint64(32)
-            keys, nodes, heads = _groups(all_keys, np.repeat(np.array(held_nodes), [len(k) for k in held_keys]))
-            tell = _telling(nodes, heads)
-            yield from _members(keys[tell], nodes[tell])
-            keys, nodes = keys[heads], nodes[heads]
+            keys, nodes, _ = _groups(all_keys, np.repeat(np.array(held_nodes), [len(k) for k in held_keys]))
             edges = np.searchsorted(keys >> np.uint64(32), np.arange(buckets + 1))
             for b, (start, end) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                 if end > start:
@@ -228,9 +227,8 @@ def _staged(docs: DataFrame, size: int, percent: int, buckets: int) -> DataFrame
         at, keys, nodes = None, [], []
 
         def found() -> Iterator[pa.RecordBatch]:
-            k, n, heads = _groups(np.concatenate(keys) | np.uint64(at << 32), np.concatenate(nodes))
-            tell = _telling(n, heads)
-            yield from _members(k[tell], n[tell])
+            _, n, heads = _groups(np.concatenate(keys), np.concatenate(nodes))
+            yield from _members(*_shared(n, heads))
 
         for batch in batches:
             kinds = np.array(batch.column("kind").to_pylist())
@@ -388,7 +386,7 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
         more = _across(members, labels, nodes.select("node", "n", "sketch"), percent, nearest).join(tried, ["a", "b"], "left_anti")
         more = durable(more)
         if more.isEmpty():
-            break
+            continue
         tried = durable(tried.unionByName(more))
         edges = durable(edges.unionByName(_linked(more, _sets(docs, more, nodes, size), percent)))
         labels = components(edges)

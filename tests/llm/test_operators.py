@@ -270,6 +270,41 @@ def test_parity_join(spark):
     assert {i: got[i].component_id for i in sets} == label
 
 
+def similar(x, y, percent=85):
+    both = len(np.intersect1d(x, y))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def chained(n):
+    """Texts (a, b, c): a-b and b-c link, a-c does not, and every key of both b and c is one of a."""
+    r, found = random.Random(17), []
+    while len(found) < n:
+        tag, w = r.randrange(10**9), r.randrange(20, 40)
+        b = [f"{tag}w{k}" for k in range(w)]
+        c = ["new"] * r.randrange(1, 4) + b[r.randrange(3) :]
+        texts = [" ".join(x) for x in (b[: -r.randrange(1, 4)], b, c)]
+        sets = [parity_join.shingles(t, 4) for t in texts]
+        if parity_join.node_of(sets[0]) < parity_join.node_of(sets[1]) and [similar(sets[i], sets[j]) for i, j in ((0, 1), (1, 2), (0, 2))] == [True, True, False]:
+            keys = [set(parity_join.block_keys(x, 85).tolist()) for x in sets]
+            if keys[1] & keys[2] <= keys[0]:
+                found.append(texts)
+    return found
+
+
+def test_parity_join_across_tasks_and_flushes(spark, monkeypatch):
+    monkeypatch.setattr(parity_join, "FLUSH", 1)
+    triples = chained(60)
+    firsts, lasts = [t for a, b, _ in triples for t in (a, b)], [c for *_, c in triples]
+    # the first half in one task, which flushes after every 1000 rows; the second half in two tasks
+    parts = [firsts[:60] + [""] * 940 + lasts[:30], firsts[60:], lasts[30:]]
+    rows = [[(k * 10_000 + i, t) for i, t in enumerate(part)] for k, part in enumerate(parts)]
+    first = {t: i for part in rows for i, t in part}
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3).flatMap(lambda part: part), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in parity_join.similar_documents(docs, 4, 85).collect()}
+    lost = [t for t in triples if len({got[first[x]] for x in t}) > 1]
+    assert lost == []
+
+
 def test_bands_hold_all_pairs():
     b = parity_join.bands(85)
     for n in range(6, 400):
