@@ -1,4 +1,4 @@
-"""Nearest neighbours by inner product from shifted space-filling curves.
+"""Nearest neighbours by inner product: shifted space-filling curves, completed by an exact scan.
 
 Vectors get one more component that makes all norms equal, so that the largest inner product is the smallest
 distance. Each of several orderings projects them on a few random directions, shifts the grid at random and
@@ -6,12 +6,16 @@ numbers the cells along a Hilbert curve. Spark range-partitions the keys and giv
 ordering is read in blocks of BLOCK consecutive ranks and a margin of MARGIN on both sides, and a query is
 compared, in double precision, with all of its block. The best of the orderings are merged.
 
+Windows of fixed size see an ever smaller share of a growing table. So their result only bounds the answer:
+no nearest neighbour scores less than the last of those found. A scan then compares the queries, QUERIES at a
+time, with all vectors and keeps what reaches the bound, of which the best are the exact answer. The better
+the windows, the fewer rows leave the scan; the scan's comparisons are queries times vectors in any case.
+
 Equal vectors are one class throughout, named by its smallest id and carried with its CLASS smallest ids:
 no more can be among the nearest of any query, so a vector that a third of all rows share is indexed once.
-A block has a fixed number of rows, whatever the keys are; the rest of the work is proportional to the rows.
+A block has a fixed number of rows, whatever the keys are.
 
-The projection's centre and range are fitted on at most FIT vectors. Recall depends on how far the data have
-a structure of low dimension; see the README for figures against brute force.
+The projection's centre and range are fitted on at most FIT vectors.
 
 Defined results: vectors that are null, zero, not of the most frequent length, or that hold null or
 non-finite components take no part, neither do rows without id; rows with the same id and vector are one;
@@ -21,6 +25,7 @@ with fewer candidates than asked for, all found are returned; an empty table giv
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +37,7 @@ from claimstead.llm.common import durable
 ORDERINGS, DIMENSIONS, BITS = 12, 6, 10
 BLOCK, MARGIN = 4096, 512
 FIT = 4096
+QUERIES = 16384
 SEED = 20
 
 
@@ -123,6 +129,31 @@ def _ranked(keys: DataFrame) -> DataFrame:
     return dealt.withColumn("within", within).join(bases, ["part", "ordering"]).select("ordering", "class", (F.col("base") + F.col("within") - 1).alias("rank"))
 
 
+def _scanned(indexed: DataFrame, bounded: DataFrame, most: int, slack: float) -> DataFrame:
+    """bounded: asking, embedding, least -> asking, class, score: the `most` best of all vectors, given that they reach least."""
+    count, parts = max(1, -(-bounded.count() // QUERIES)), []
+    for part in range(count):
+        rows = bounded.where(F.pmod(F.xxhash64("asking"), F.lit(count)) == part).collect()
+        if not rows:
+            continue
+        names = np.array([r["asking"] for r in rows])
+        asked = np.array([r["embedding"] for r in rows])
+        least = np.array([r["least"] for r in rows]) - slack  # the same product may differ in its last bits
+
+        def scan(batches: Iterator[pa.RecordBatch], names=names, asked=asked, least=least) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, classes = _matrix(batch.column("embedding")), batch.column("class").to_numpy()
+                for at in range(0, len(asked) if len(x) else 0, 256):
+                    scores = asked[at : at + 256] @ x.T
+                    q, i = np.nonzero(scores >= least[at : at + 256, None])
+                    yield pa.RecordBatch.from_arrays([pa.array(names[at + q]), pa.array(classes[i]), pa.array(scores[q, i])], ["asking", "class", "score"])
+
+        place = F.row_number().over(Window.partitionBy("asking").orderBy(F.desc("score"), "class"))
+        reached = indexed.select("class", "embedding").mapInArrow(scan, "asking long, class long, score double")
+        parts.append(durable(reached.withColumn("at", place).where(F.col("at") <= most).drop("at")))
+    return reduce(DataFrame.unionByName, parts) if parts else bounded.select("asking", F.col("asking").alias("class"), F.col("least").alias("score"))
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, orderings: int = ORDERINGS, dimensions: int = DIMENSIONS, bits: int = BITS, block: int = BLOCK, margin: int = MARGIN) -> DataFrame:
     """vectors (vec_id, embedding); is_query: a condition on vec_id -> query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
@@ -188,6 +219,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, orderings: int =
     merged = found.groupBy("asking", "class").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("asking").orderBy(F.desc("score"), "class"))
     merged = merged.withColumn("at", place).where(F.col("at") <= k + 1).drop("at")
+    least = F.when(F.count("*") == k + 1, F.min("score")).otherwise(F.lit(float("-inf"))).alias("least")
+    bounded = merged.groupBy("asking").agg(least).join(indexed.withColumnRenamed("class", "asking"), "asking")
+    merged = _scanned(indexed, durable(bounded.select("asking", "embedding", "least")), k + 1, 1e-9 * longest**2)
     full = members.join(classes, ["h1", "h2"]).select("class", F.col("vec_id").alias("found_id"))
     near = merged.join(full, "class").groupBy("asking").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "found_id"))), 1, k + 1).alias("near"))
     each = queries.select(F.col("vec_id").alias("query_id"), F.col("class").alias("asking")).join(near, "asking")

@@ -212,6 +212,19 @@ def test_nearest(spark):
     assert hilbert_neighbours.nearest(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("queries", [16384, 20])
+def test_nearest_outside_the_windows(spark, monkeypatch, queries):
+    monkeypatch.setattr(hilbert_neighbours, "QUERIES", queries)
+    vectors = np.random.default_rng(2).normal(size=(1200, 16)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").repartition(5)
+    got = {}
+    for r in hilbert_neighbours.nearest(frame, F.col("vec_id") % 20 == 0, orderings=2, block=32, margin=4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    scores = vectors[::20].astype(float) @ vectors.T.astype(float)
+    for q, row in zip(range(0, 1200, 20), scores, strict=True):
+        assert got[q] == [i for i in np.lexsort((np.arange(1200), -row)) if i != q][:20]
+
+
 def test_hilbert_keys_walk_to_neighbours():
     cells = np.array([(x, y) for x in range(8) for y in range(8)])
     path = cells[np.argsort(hilbert_neighbours.hilbert_keys(cells, 3))]
