@@ -301,12 +301,12 @@ def _pastes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("paste_detect", _S + "SELECT subject_id, subject_id % 3 < 2 AS pasted FROM subjects")(lambda s, d: _pastes(s, d).select("subject_id", ps.is_paste(_text()).alias("pasted")))
-query("paste_sections")(lambda s, d: ps.sectioned(_pastes(s, d).where("subject_id % 3 < 2"), "subject_id").groupBy("section").agg(F.count("*").alias("n")))
+query("paste_sections")(lambda s, d: ps.sectioned(_pastes(s, d), "subject_id").groupBy("section").agg(F.count("*").alias("n")))
 query("paste_chrome")(lambda s, d: _pastes(s, d).select("subject_id", F.size(F.filter(ps.lines_of(_text()), ps.is_chrome)).alias("n")))
-query("paste_experience")(lambda s, d: ps.parsed(_pastes(s, d).where("subject_id % 3 < 2"), "subject_id").select("subject_id", F.posexplode("profile.experiences").alias("at", "e")).select("subject_id", "at", "e.*"))
-query("paste_education")(lambda s, d: ps.parsed(_pastes(s, d).where("subject_id % 3 < 2"), "subject_id").select("subject_id", F.posexplode("profile.educations").alias("at", "e")).select("subject_id", "at", "e.*"))
-query("paste_skills")(lambda s, d: ps.parsed(_pastes(s, d).where("subject_id % 3 < 2"), "subject_id").select("subject_id", F.array_join("profile.skills", "; ").alias("skills")))
-query("profile_prose")(lambda s, d: ps.parsed(_pastes(s, d).where("subject_id % 3 < 2"), "subject_id").select("subject_id", ps.prose(F.col("profile")).alias("prose")))
+query("paste_experience")(lambda s, d: ps.parsed(_pastes(s, d), "subject_id").select("subject_id", F.posexplode("profile.experiences").alias("at", "e")).select("subject_id", "at", "e.*"))
+query("paste_education")(lambda s, d: ps.parsed(_pastes(s, d), "subject_id").select("subject_id", F.posexplode("profile.educations").alias("at", "e")).select("subject_id", "at", "e.*"))
+query("paste_skills")(lambda s, d: ps.parsed(_pastes(s, d), "subject_id").select("subject_id", F.array_join("profile.skills", "; ").alias("skills")))
+query("profile_prose")(lambda s, d: ps.parsed(_pastes(s, d), "subject_id").select("subject_id", ps.prose(F.col("profile")).alias("prose")))
 query("duration_fmt", "SELECT c_custkey AS subject_id, CASE c_custkey % 4 WHEN 0 THEN '6 years 6 months' WHEN 1 THEN '1 year' WHEN 2 THEN '3 months' ELSE '' END AS said FROM customer")(lambda s, d: s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("subject_id"), ps.duration_text(F.expr("CASE c_custkey % 4 WHEN 0 THEN '6 yrs 6 mos' WHEN 1 THEN '1 yr' WHEN 2 THEN '3 mos' ELSE 'now' END")).alias("said")))
 
 

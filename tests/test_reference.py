@@ -118,3 +118,12 @@ def test_entry():
     import __spark_entry__
 
     assert "batch_summary" in __spark_entry__.queries() and "score_level" in __spark_entry__.oracle_sql()
+
+
+def test_paste_queries_take_all_subjects(spark):
+    from claimstead.plans.catalog import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    everyone = {r.subject_id for r in co.subjects(spark, folder).select("subject_id").collect()}
+    for name in ("paste_skills", "profile_prose"):
+        assert {r.subject_id for r in QUERIES[name](spark, folder).select("subject_id").collect()} == everyone
