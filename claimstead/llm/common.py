@@ -1,9 +1,10 @@
-"""What the training-data operators share: table reading, the shared folder, durable cuts of lineage."""
+"""What the training-data operators share: table reading, the shared folder, tables kept in it for a while."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,13 +14,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (where it is unset, as in tests) a new local one."""
+    """The folder all executors share: spark.checkpoint.dir, or (where it is unset, on a local master only) a new local one."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if not folder and current.isDefined():
         folder = current.get()
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="claimstead-")
     if not current.isDefined():
         sc.setCheckpointDir(folder)
@@ -47,3 +50,32 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """Tables in the shared folder that a computation keeps and drops; with the block, whatever is left goes."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = path, table
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            path, _ = self.paths.pop(id(table), (None, None))
+            if path:
+                drop_path(self.spark, path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        for path, _ in self.paths.values():
+            with suppress(Exception):
+                drop_path(self.spark, path)
+        self.paths.clear()

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimstead.llm.common import durable
+from claimstead.llm.common import Scratch
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -23,12 +23,24 @@ def _stars(edges: DataFrame) -> DataFrame:
     return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, kept: Scratch) -> DataFrame:
     """edges (a, b), longs -> node, label: the smallest node of its component, for nodes that aren't it themselves."""
-    now = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+    now = kept.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
     sums = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
     before, said = None, tuple(now.agg(*sums).first())
     while said != before:
-        now, before = durable(_stars(now)), said
+        last, now, before = now, kept.keep(_stars(now), "edges"), said
         said = tuple(now.agg(*sums).first())
+        kept.drop(last)
     return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
+
+
+def joined_components(labels: DataFrame, edges: DataFrame, kept: Scratch) -> DataFrame:
+    """labels, as of components(), after more edges (a, b)."""
+    ends = edges
+    for end in ("a", "b"):
+        root = labels.select(F.col("node").alias(end), F.col("label").alias("root"))
+        ends = ends.join(root, end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    more = components(ends, kept)
+    moved = labels.join(more.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+    return kept.keep(moved.select("node", F.coalesce("to", "label").alias("label")).unionByName(more), "labels")

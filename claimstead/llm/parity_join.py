@@ -1,28 +1,33 @@
 """Similarity join of documents on word shingles by parity sketches.
 
-A document is its set of shingles. Sets of sizes that can link at all meet in size bands: a document takes
-part in the group of its band and in that of the next. For sets of a group that link, at most D shingles are
-in one but not the other (D follows from the largest size of the group). Every shingle flips one bit of a
+A document is its set of shingles. Sets of sizes that can link at all meet in size bands: the group of a band
+holds its sets and those of the next band, so any two that link meet in the group of the smaller one's band.
+Of sets that link there, at most D shingles are in one but not the other. Every shingle flips one bit of a
 sketch, so the Hamming distance of two sketches is at most that difference; a sketch of more than D blocks
-thus has equal blocks in both (pigeonhole), and block contents are the keys of the join.
-
-Blocks with no bit or one say little and are shared by chance. A group has some blocks more than D+1,
-so that weak ones can be left out as long as there are no more of them than that; a document with more
-takes part in a second and third sketch with other hashes, and in the last of them with all blocks. Two
-linked documents whose equal blocks are all weak both have too many weak ones, so both go on: no link is
-lost.
-
-Documents with equal sets are one class. Of the classes that share a key each is compared with the smallest
-(a star, not all pairs), exactly, on the sets. Where classes that share a key are then still in different
-components, they are compared with each other: sketches first, in tiles of fixed size, then the sets.
-
-Keys and classes travel packed, a blob with every key of every class for each task and bucket of keys. Only
-where all classes of a key are together are keys without a partner left out, and equal sets of classes named
-once; what is shuffled row by row are those sets, so documents without a partner cost their blobs alone.
+thus has equal blocks in both (pigeonhole), and block contents are the keys of the join. This sketch is far
+wider than it is full, so a block is named by the XOR of its bits' hashes: a bit that flips twice cancels, and
+blocks differ unless their shingles are the same.
+
+Empty blocks say nothing, and blocks that very many sets share (a line that a third of all documents hold)
+say little. A group has some blocks more than D + 1, so two linked sets have more equal blocks than the group
+has to spare. A set with no more empty and popular blocks than that shares one that is neither with every set
+it links with. The others take part in their popular keys; should the empty blocks alone be too many, in a
+second and third sketch with other hashes too, and in the last of them with empty blocks. So no link is lost.
+
+Sets that are equal are one class. Round 0 compares every class with one of the smallest classes of its keys,
+the nearest by a second sketch (a parity bitmap of SHARP bits for each shingle that may differ): stars, not all
+pairs. Later rounds take the keys whose classes are still in different components, in tiles of fixed size, and
+every component of a tile names its nearest class outside that the sketches don't rule out and that hasn't been
+compared, until there is none. A tile names one pair for each of its components at most, whatever the size of
+a group. All that is named is compared exactly, on the sets.
+
+Keys travel packed, a blob of all keys of a task's classes for each partition. Only where all classes of a key
+are together are keys without a partner left out, and equal sets of classes named once. Sets are compared in
+cells of one class and up to CELL others, to which their shingles come once.
 
 Defined results: null or blank texts have an empty set and link with nothing; with fewer words than a
 shingle the whole sequence is the one shingle; repeated rows stand each for itself and are one class; rows
-without id take part and count as larger than any id.
+without id take part and count as larger than any id. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -33,19 +38,22 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimstead.llm.common import durable, stored
-from claimstead.llm.components import components
+from claimstead.llm.common import Scratch, stored
+from claimstead.llm.components import components, joined_components
 
-WIDTH = 256
-WEAK, LEVELS, SPARE = 1, 3, 0.12
-CHECK_BITS = 1024
-FLUSH = 1_000_000
+LEVELS, SPARE = 3, 0.12
+POPULAR = 512
+SHARP = 16
+FLUSH = 2_000_000
 TILE = 2048
-BROADCAST = 500_000
+CELL = 64
+PARTITION_BYTES = 32 << 20
+FILTER_WORDS = 1 << 20
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -90,24 +98,21 @@ class Bands:
         """The largest symmetric difference with which sets of these sizes link."""
         return (100 - self.percent) * (a + b) // (100 + self.percent)
 
-    def _extend(self, size: int) -> None:
-        while self.starts[-1] <= size:
-            self.starts.append(100 * self.starts[-1] // self.percent + 1)
+    def furthest(self, size: int) -> int:
+        """The same for a set of this size and any larger one."""
+        return self.most_apart(size, 100 * size // self.percent)
 
     def groups(self, size: int) -> list[tuple[int, int, int]]:
         """(group, D, blocks) in which a set of this size takes part; none if no other set can link with it."""
-        if self.most_apart(size, 100 * size // self.percent) == 0:
+        if self.furthest(size) == 0:
             return []
-        self._extend(size)
+        while self.starts[-1] <= size or len(self.starts) < 3:
+            self.starts.append(100 * self.starts[-1] // self.percent + 1)
         band = int(np.searchsorted(self.starts, size, side="right")) - 1
         out = []
-        for group in (band, band + 1):  # of bands group - 1 and group
-            self._extend(self.starts[group])
-            while len(self.starts) <= group + 1:
-                self._extend(self.starts[-1])
-            largest = self.starts[group + 1] - 1
-            apart = self.most_apart(largest, largest)
-            out.append((group, apart, apart + 1 + (int(SPARE * (apart + 1)) + 2 if apart >= 12 else 0)))
+        for group in (band - 1, band) if band else (band,):  # as a larger set of the band below, and in its own
+            apart = self.furthest(self.starts[group + 1] - 1)
+            out.append((group, apart, apart + 3 + int(SPARE * (apart + 1))))
         return out
 
 
@@ -116,33 +121,63 @@ def bands(percent: int) -> Bands:
     return Bands(percent)
 
 
-def block_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """The keys of the join for a set."""
-    out = []
+def block_keys(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The keys of the join for a set (sorted); and how many of them may be popular before they are needed."""
+    out, room = [np.zeros(0, np.uint64)], 1 << 30
     for group, apart, blocks in bands(percent).groups(len(tokens)):
         spare = blocks - apart - 1
         for level in range(LEVELS):
-            h = mixed(tokens + np.uint64((level + 1) * int(_M1) % (1 << 64)))
-            place = (h >> np.uint64(32)) % np.uint64(blocks) * np.uint64(WIDTH) + (h & np.uint64(WIDTH - 1))
-            bits = np.bincount(place.astype(np.int64), minlength=blocks * WIDTH) & 1
-            set_bits = bits.reshape(blocks, WIDTH).sum(1)
-            words = np.packbits(bits.astype(np.uint8)).view(np.uint64).reshape(blocks, WIDTH // 64)
-            keys = np.arange(blocks, dtype=np.uint64) + np.uint64(group * LEVELS + level << 32)
-            for k in range(WIDTH // 64):
-                keys = mixed(keys * _M1 + words[:, k])
-            strong = set_bits > WEAK
-            if (~strong).sum() <= spare:
-                out.append(keys[strong])
+            h = tokens if level == 0 else np.sort(mixed(tokens + np.uint64(level * int(_M1) % (1 << 64))))
+            block = (h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
+            starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            content = np.bitwise_xor.reduceat(mixed(h * _M1 + _M3), starts)
+            name = np.uint64(group * LEVELS + level << 32)
+            out.append(mixed(content ^ mixed(block[starts] + name)))
+            empty = blocks - len(starts)
+            if empty <= spare:
+                room = min(room, -1 if level else spare - empty)
                 break
-            out.append(keys if level == LEVELS - 1 else keys[strong])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            if level == LEVELS - 1:
+                out.append(mixed(mixed(np.setdiff1d(np.arange(blocks, dtype=np.uint64), block[starts]) + name)))
+                room = -1
+    return np.concatenate(out), room
 
 
-def check_sketch(tokens: np.ndarray) -> bytes:
-    bits = np.bincount((tokens % np.uint64(CHECK_BITS)).astype(np.int64), minlength=CHECK_BITS) & 1
+def check_sketch(tokens: np.ndarray, percent: int) -> bytes:
+    """A parity bitmap of SHARP bits for each shingle by which linked sets may differ, rounded up to a power of two."""
+    size = max(64, 1 << (SHARP * bands(percent).furthest(len(tokens)) - 1).bit_length()) if len(tokens) else 64
+    bits = np.bincount((mixed(tokens) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def sketch_matrix(sketches: list[bytes]) -> np.ndarray:
+    """The sketches as rows of 64-bit words, folded to the size of the shortest (a folded sketch is the shorter sketch)."""
+    sizes = np.array([len(s) for s in sketches])
+    width = int(sizes.min())
+    out = np.zeros((len(sketches), width // 8), np.uint64)
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        rows = np.frombuffer(b"".join([sketches[i] for i in at]), np.uint64).reshape(len(at), size // width, width // 8)
+        out[at] = np.bitwise_xor.reduce(rows, axis=1)
+    return out
+
+
+def distances(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """The Hamming distances of pairs of sketches, each at the size of the shorter."""
+    out = np.zeros(len(a), np.int64)
+    sizes = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
+    for pair in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes == pair).all(1)).tolist()
+        m = sketch_matrix([a[i] for i in at] + [b[i] for i in at])
+        out[at] = np.bitwise_count(m[: len(at)] ^ m[len(at) :]).sum(1, dtype=np.int64)
+    return out
+
+
+def may_link(percent: int, apart: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sketches so far apart leave a link possible between sets of sizes a and b."""
+    return (apart <= (100 - percent) * (a + b) // (100 + percent)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+
+
 def node_of(tokens: np.ndarray) -> int:
     return int.from_bytes(blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -157,197 +192,186 @@ def _groups(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys, nodes, np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
 
 
-def _shared(nodes: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(name, class) of the sets of several classes that share a key, each set once; needs all classes of the keys.
-
-    A set is named by a hash of its classes; should two meet, comparisons too many are made.
-    """
-    sizes = np.diff(np.append(heads, len(nodes)))
-    sets = np.add.reduceat(mixed(nodes.view(np.uint64)), heads) + sizes.astype(np.uint64)
-    several = np.repeat(sizes > 1, sizes)
-    return _groups(np.repeat(sets, sizes)[several], nodes[several])[:2]
+def _partition_names(spark: SparkSession, parts: int) -> np.ndarray:
+    """For each of so many hash partitions an int that Spark deals to it."""
+    tries = spark.range(int(parts * (np.log(parts) + 8)) + 64).select(F.col("id").cast("int").alias("name"))
+    rows = tries.groupBy(F.pmod(F.hash("name"), F.lit(parts)).alias("part")).agg(F.min("name").alias("name"))
+    return np.array([r["name"] for r in rows.collect()])
 
 
-_STAGED = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("key", pa.int64()), ("sketch", pa.binary()), ("keys", pa.binary()), ("nodes", pa.binary())])
-_STAGED_SQL = "kind string, bucket int, doc_id long, n long, node long, key long, sketch binary, keys binary, nodes binary"
+_STAGED = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("key", pa.int64()), ("least", pa.int64()), ("sketch", pa.binary()), ("keys", pa.binary()), ("nodes", pa.binary())])
+_STAGED_SQL = "kind string, part int, doc_id long, th long, n long, node long, key long, least long, sketch binary, keys binary, nodes binary"
 
 
-def _rows(**columns) -> pa.RecordBatch:
-    n = max(len(c) for c in columns.values())
+def _rows(kind: str, **columns) -> pa.RecordBatch:
+    n = len(columns["n"])
+    columns["kind"] = [kind] * n
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _STAGED], schema=_STAGED)
 
 
-def _members(keys: np.ndarray, nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(keys), 50_000):
-        part = keys[at : at + 50_000]
-        yield _rows(kind=["member"] * len(part), key=part.view(np.int64), node=nodes[at : at + 50_000])
-
-
-def _staged(docs: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
-    """Rows of two kinds: doc (doc_id, n, node, sketch), member (key, node) of the sets of classes that share a key."""
+def _staged(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Rows of three kinds: doc (doc_id, th: its text's hash, n, node, sketch, key: its room), member (key, node, least, n: its size)
+    of the sets of classes that share a key, load (node, n): how many popular keys a class has.
+    """
+    spark = docs.sparkSession
+    volume = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // PARTITION_BYTES))
+    names = _partition_names(spark, parts)
+    parts = len(names)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_keys, held_nodes, held = [], [], 0
+        held, nodes, counts, total, turn = [], [], [], 0, 0
+        seen: set[int] = set()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            all_keys = np.concatenate(held_keys)
-            # the bucket and 32 bits name a key; should two meet, a comparison too many is made
-            bucket = (all_keys % np.uint64(buckets)).astype(np.int64)
-            all_keys = bucket.astype(np.uint64) << np.uint64(32) | mixed(all_keys) >> np.uint64(32)
-            keys, nodes, _ = _groups(all_keys, np.repeat(np.array(held_nodes), [len(k) for k in held_keys]))
-            edges = np.searchsorted(keys >> np.uint64(32), np.arange(buckets + 1))
-            for b, (start, end) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            keys, owner = np.concatenate(held), np.repeat(np.arange(len(nodes)), counts)
+            part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(part * len(nodes) + owner, kind="stable")
+            keys, owner = keys[order].astype(np.uint32), owner[order]
+            edges = np.searchsorted(part[order], np.arange(parts + 1))
+            table = np.array(nodes)
+            for p, (start, end) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
                 if end > start:
-                    table, index = np.unique(nodes[start:end], return_inverse=True)
-                    yield _rows(kind=["blob"], bucket=[b], keys=[keys[start:end].astype(np.uint32).tobytes()], nodes=[table.tobytes() + index.astype(np.uint16).tobytes()], n=[len(table)])
+                    own, times = np.unique(owner[start:end], return_counts=True)
+                    yield _rows("blob", part=[int(names[p])], n=[len(own)], keys=[keys[start:end].tobytes()], nodes=[table[own].tobytes() + times.astype(np.uint32).tobytes()])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                ns, nodes, sketches = [], [], []
+                ns, own, sketches, rooms = [], [], [], []
                 for text in part.column(1).to_pylist():
                     tokens = shingles(text, size)
-                    node = node_of(tokens)
+                    node, sketch_, room = node_of(tokens), None, None
+                    if node not in seen:
+                        if len(seen) > 1_000_000:
+                            seen.clear()
+                        seen.add(node)
+                        sketch_ = check_sketch(tokens, percent)
+                        keys, room = block_keys(tokens, percent)
+                        if len(keys):
+                            held.append(keys)
+                            nodes.append(node)
+                            counts.append(len(keys))
+                            total += len(keys)
                     ns.append(len(tokens))
-                    nodes.append(node)
-                    sketches.append(check_sketch(tokens))
-                    keys = block_keys(tokens, percent)
-                    if len(keys):
-                        held_keys.append(keys)
-                        held_nodes.append(node)
-                        held += len(keys)
-                yield _rows(kind=["doc"] * len(ns), bucket=[n % buckets for n in nodes], doc_id=part.column(0), n=ns, node=nodes, sketch=sketches)
-                if held >= FLUSH or len(held_nodes) >= 60_000:  # classes of a blob are numbered in 16 bits
+                    own.append(node)
+                    sketches.append(sketch_)
+                    rooms.append(room)
+                turn += 1
+                yield _rows("doc", part=[int(names[turn % parts])] * len(ns), doc_id=part.column(0), th=part.column(2), n=ns, node=own, sketch=sketches, key=rooms)
+                if total >= FLUSH:
                     yield from flush()
-                    held_keys, held_nodes, held = [], [], 0
-        if held:
+                    held, nodes, counts, total = [], [], [], 0
+        if total:
             yield from flush()
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, keys, nodes = None, [], []
-
-        def found() -> Iterator[pa.RecordBatch]:
-            _, n, heads = _groups(np.concatenate(keys), np.concatenate(nodes))
-            yield from _members(*_shared(n, heads))
-
+        keys, nodes = [], []
         for batch in batches:
-            kinds = np.array(batch.column("kind").to_pylist())
-            yield batch.filter(pa.array(kinds != "blob"))
-            blobs = batch.filter(pa.array(kinds == "blob"))
-            for b, k, n, size in zip(blobs.column("bucket").to_pylist(), blobs.column("keys"), blobs.column("nodes"), blobs.column("n").to_pylist(), strict=True):
-                if b != at and keys:
-                    yield from found()
-                    keys, nodes = [], []
-                at = b
-                packed = n.as_buffer().to_pybytes()
-                keys.append(np.frombuffer(k.as_buffer(), np.uint32).astype(np.uint64))
-                nodes.append(np.frombuffer(packed, np.int64, size)[np.frombuffer(packed, np.uint16, offset=8 * size)])
-        if keys:
-            yield from found()
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sketch, _STAGED_SQL)
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(match, _STAGED_SQL).drop("bucket", "keys", "nodes")
-
-
-def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and sketches don't rule out."""
+            kinds = pc.equal(batch.column("kind"), "blob")
+            yield batch.filter(pc.invert(kinds))
+            blobs = batch.filter(kinds)
+            for k, packed, n in zip(blobs.column("keys"), blobs.column("nodes"), blobs.column("n").to_pylist(), strict=True):
+                packed = packed.as_buffer().to_pybytes()
+                keys.append(np.frombuffer(k.as_buffer().to_pybytes(), np.uint32))
+                nodes.append(np.repeat(np.frombuffer(packed, np.int64, n), np.frombuffer(packed, np.uint32, offset=8 * n)))
+        if not keys:
+            return
+        # 32 bits name a key of a partition; should two meet, comparisons too many are made
+        _, nodes, heads = _groups(np.concatenate(keys), np.concatenate(nodes))
+        sizes = np.diff(np.append(heads, len(nodes)))
+        popular, times = np.unique(nodes[np.repeat(sizes > POPULAR, sizes)], return_counts=True)
+        for at in range(0, len(popular), 50_000):
+            yield _rows("load", node=popular[at : at + 50_000], n=times[at : at + 50_000])
+        # sets of classes, each once, named by a hash of their classes
+        sets = np.add.reduceat(mixed(nodes.view(np.uint64)), heads) + sizes.astype(np.uint64)
+        first = np.zeros(len(heads), bool)
+        first[np.unique(sets, return_index=True)[1]] = True
+        chosen = first & (sizes > 1)
+        rows = np.repeat(chosen, sizes)
+        columns = {"key": np.repeat(sets, sizes)[rows].view(np.int64), "node": nodes[rows], "least": np.repeat(nodes[heads], sizes)[rows], "n": np.repeat(sizes, sizes)[rows]}
+        for at in range(0, len(columns["n"]), 50_000):
+            yield _rows("member", **{name: c[at : at + 50_000] for name, c in columns.items()})
+
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("th")).mapInArrow(sketch, _STAGED_SQL)
+    return rows.repartition(parts, "part").mapInArrow(match, _STAGED_SQL).drop("part", "keys", "nodes")
+
+
+def _stars(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each class the nearest of the smallest classes of its keys, if sketches allow a link."""
+    pairs = members.where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                s = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("sa", "sb")]
-                apart = np.bitwise_count(s[0] ^ s[1]).sum(1, dtype=np.int64)
-                na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-                ok = (apart <= (100 - percent) * (na + nb) // (100 + percent)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
-                yield batch.filter(pa.array(ok)).select(["a", "b"])
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            apart = distances(*(batch.column(c).to_pylist() for c in ("sa", "sb")))
+            ok = may_link(percent, apart, na, nb)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(pa.array(ok)) for c in "ab"), pa.array(apart[ok])], ["a", "b", "apart"])
 
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    near = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, apart long")
+    return near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select("x.a", "b")
 
 
-def _sets(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """node, tokens of the classes in the pairs (a, b), from their texts.
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, node, label, size of the members of keys whose classes are in several components."""
+    marked = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = marked.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("size")).where("l0 != l1")
+    return marked.join(several.select("key", "size"), "key")
 
-    Up to BROADCAST classes are named to all tasks, so that no text moves; of more the texts are shuffled.
-    """
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    needed = durable(needed.join(nodes, "node").select("node", F.col("rep").alias("doc_id")))
-    if needed.count() <= BROADCAST:
-        needed = F.broadcast(needed)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(needed, F.equal_null(texts["doc_id"], needed["doc_id"])).select("node", "text")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found_nodes, found = [], []
-                for node, text in zip(part.column("node").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    if node not in seen:
-                        tokens = shingles(text, size)
-                        if node_of(tokens) == node:  # an id may be on several rows
-                            seen.add(node)
-                            found_nodes.append(node)
-                            found.append(tokens.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(found_nodes, pa.int64()), pa.array(found, pa.binary())], ["node", "tokens"])
-
-    return stored(texts.mapInArrow(sets, "node long, tokens binary").dropDuplicates(["node"]), "shingles")
-
-
-def _linked(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, compared exactly."""
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True):
-                x, y = (np.frombuffer(t.as_buffer(), np.uint64) for t in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+def _nearest_outside(rows: DataFrame, nodes: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b: for each component in a tile of a key its nearest class of another, where sketches allow a link.
 
-    b = tokens.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    a = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long").distinct()
-
-
-def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of classes that share a key but not yet a component, where sketches allow a link.
-
-    nearest: for each class only its nearest of every other component in its tile.
+    rows: as of _open(); apart: pairs (a, b), a < b, that don't link and aren't named again.
     """
-    marked = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = marked.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("size")).where("l0 != l1")
-    rows = marked.join(open_.select("key", "size"), "key")
     rows = rows.withColumn("tiles", F.ceil(F.col("size") / TILE)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")))
     # tile pairs (i, j), i <= j, with the row's own tile as either
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
     rows = rows.withColumn("other", other).select("key", "node", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = rows.join(nodes, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    known = apart.groupBy("a").agg(F.collect_list("b").alias("known")).withColumnRenamed("a", "node")
+    rows = rows.join(nodes.join(known, "node", "left"), "node")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
+        named: set[tuple[int, int]] = set()
 
         def pairs() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held)
             node, label, n, own = (t[c].to_numpy() for c in ("node", "label", "n", "own"))
-            s = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(len(node), -1)
-            _, i, j = at
-            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            for x in left:
-                y = right[(label[right] != label[x]) & (node[right] > node[x] if i == j else True)]
-                y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
-                if len(y):
-                    apart = np.bitwise_count(s[y] ^ s[x]).sum(1, dtype=np.int64)
-                    ok = apart <= (100 - percent) * (n[y] + n[x]) // (100 + percent)
-                    y, apart = y[ok], apart[ok]
-                if len(y) and nearest:
-                    y = y[np.lexsort((node[y], apart))]
-                    y = y[np.unique(label[y], return_index=True)[1]]
-                if len(y):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[y], node[x])), pa.array(np.maximum(node[y], node[x]))], ["a", "b"])
+            _, component, sizes = np.unique(label, return_inverse=True, return_counts=True)
+            if len(sizes) < 2:
+                return
+            s = sketch_matrix(t["sketch"].to_pylist())
+            place = {x: k for k, x in enumerate(node.tolist())}
+            done: dict[int, list[int]] = {}
+            for x, partners in enumerate(t["known"].to_pylist()):
+                for y in (place[p] for p in partners or () if p in place):
+                    done.setdefault(x, []).append(y)
+                    done.setdefault(y, []).append(x)
+            same_tile = at[1] == at[2]
+            best: dict[int, tuple[int, int, int]] = {}
+            for x in np.flatnonzero(component != sizes.argmax()).tolist():
+                ok = component != component[x]
+                if not same_tile:
+                    ok &= own != own[x]
+                ok[done.get(x, [])] = False
+                y = np.flatnonzero(ok)
+                distance = np.bitwise_count(s[y] ^ s[x]).sum(1, dtype=np.int64)
+                ok = may_link(percent, distance, n[y], n[x])
+                if ok.any():
+                    y, distance = y[ok], distance[ok]
+                    k = np.lexsort((node[y], distance))[0]
+                    found = int(distance[k]), min(int(node[x]), int(node[y[k]])), max(int(node[x]), int(node[y[k]]))
+                    c = int(component[x])
+                    best[c] = min(best.get(c, found), found)
+            new = sorted({x[1:] for x in best.values()} - named)
+            named.update(new)
+            if new:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*new, strict=True)], ["a", "b"])
 
         for batch in batches:
             k, i, j = (batch.column(c).to_numpy() for c in ("key", "i", "j"))
@@ -366,33 +390,86 @@ def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: in
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _compared(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """pairs (a, b) -> a, b, linked: compared exactly, on the sets, which come from the texts again.
+
+    A bitmap over the hashes of the texts wanted, a table of FILTER_WORDS words at most, spares most others the way.
+    """
+    parts = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / CELL).alias("cells")), "a")
+    parts = parts.select("a", "b", F.pmod(F.xxhash64("b"), F.col("cells")).alias("cell"))
+    seats = parts.select("a", "cell", F.col("b").alias("node")).unionByName(parts.select("a", "cell", F.col("a").alias("node")).distinct())
+    word = F.shiftrightunsigned("th", 6).bitwiseAND(F.lit(FILTER_WORDS - 1)).alias("word")
+    bit = F.expr("shiftleft(1L, cast(th & 63 as int))")
+    either = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = either.join(nodes, "node").groupBy(word).agg(F.bit_or(bit).alias("bits"))
+    texts = docs.select(F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    texts = texts.withColumn("word", word).join(F.broadcast(wanted), "word").where(F.col("bits").bitwiseAND(bit) != 0).select("text", "th")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part, found = batch.slice(at, 500), {}
+                for text, th in zip(part.column("text"), part.column("th").to_pylist(), strict=True):
+                    if th not in seen:
+                        if len(seen) > 1_000_000:
+                            seen.clear()
+                        seen.add(th)
+                        tokens = shingles(text.as_py(), size)
+                        found[node_of(tokens)] = tokens.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["node", "tokens"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, centre = None, None
+        for batch in batches:
+            out = []
+            for a, cell, node, t in zip(*(batch.column(c).to_pylist() for c in ("a", "cell", "node")), batch.column("tokens"), strict=True):
+                tokens = np.frombuffer(t.as_buffer().to_pybytes(), np.uint64)
+                if (a, cell) != at:  # the cell's own class comes first
+                    at, centre = (a, cell), tokens
+                    continue
+                both = len(np.intersect1d(centre, tokens, assume_unique=True))
+                out.append((a, node, 100 * both >= percent * (len(centre) + len(tokens) - both)))
+            if out:
+                types = pa.int64(), pa.int64(), pa.bool_()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["a", "b", "linked"])
+
+    tokens = texts.mapInArrow(sets, "node long, tokens binary").dropDuplicates(["node"])
+    seated = seats.join(tokens, "node").repartition("a", "cell").sortWithinPartitions("a", "cell", F.col("node") != F.col("a"))
+    return seated.select("a", "cell", "node", "tokens").mapInArrow(verify, "a long, b long, linked boolean")
+
+
 def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, class_id, component_id; size: words of a shingle.
 
     class_id: the smallest doc_id with the same set; component_id: the smallest reachable by links.
     """
-    spark = docs.sparkSession
-    staged = stored(_staged(docs, size, percent, int(spark.conf.get("spark.sql.shuffle.partitions"))), "parity")
-    rows = staged.where("kind = 'doc'").select("doc_id", "n", "node", "sketch")
-    nodes = durable(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("rep")))
-    members = durable(staged.where("kind = 'member'").select("key", "node").distinct())
-    least = members.groupBy("key").agg(F.min("node").alias("a"))
-    pairs = members.join(least, "key").where("node != a").select("a", F.col("node").alias("b")).distinct()
-    tried = durable(_near(pairs, nodes, percent))
-    edges = durable(_linked(tried, _sets(docs, tried, nodes, size), percent))
-    labels = components(edges)
-    # what is left: first the nearest of every other component, which joins most of them; then whatever remains
-    for nearest in (True, False):
-        more = _across(members, labels, nodes.select("node", "n", "sketch"), percent, nearest).join(tried, ["a", "b"], "left_anti")
-        more = durable(more)
-        if more.isEmpty():
-            continue
-        tried = durable(tried.unionByName(more))
-        edges = durable(edges.unionByName(_linked(more, _sets(docs, more, nodes, size), percent)))
-        labels = components(edges)
-    classes = nodes.join(labels, "node", "left").select("node", F.col("rep").alias("class_id"), F.coalesce("label", "node").alias("label"))
-    least = classes.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    classes = classes.join(least, "label").select("node", "class_id", "component_id")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(classes, "node")
-    own = [F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("class_id", "component_id")]
-    return out.select("doc_id", "n_shingles", *own)
+    with Scratch(docs.sparkSession) as kept:
+        staged = kept.keep(_staged(docs, size, percent), "parity")
+        rows = staged.where("kind = 'doc'").select("doc_id", "th", "n", "node", "sketch", "key")
+        of_class = F.first("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch"), F.max("key").alias("room"), F.min("doc_id").alias("rep"), F.min("th").alias("th")
+        nodes = kept.keep(rows.groupBy("node").agg(*of_class), "classes")
+        loads = staged.where("kind = 'load'").groupBy("node").agg(F.sum("n").alias("load"))
+        loaded = loads.join(nodes.select("node", "room"), "node").where("load > room").select("node")
+        found = staged.where("kind = 'member'").select("key", "node", "least", "n").distinct()
+        members = found.where(F.col("n") <= POPULAR).unionByName(found.where(F.col("n") > POPULAR).join(loaded, "node", "left_semi"))
+        members = kept.keep(members.select("key", "node", "least"), "members")
+        sketches, hashes = nodes.select("node", "n", "sketch"), nodes.select("node", "th")
+        pairs = kept.keep(_stars(members, sketches, percent), "pairs")
+        compared = kept.keep(_compared(docs, pairs, hashes, size, percent), "compared")
+        labels, apart = components(compared.where("linked"), kept), compared.where("not linked").select("a", "b")
+        while True:
+            before, members = members, kept.keep(_open(members, labels), "open")
+            kept.drop(before, pairs)
+            pairs = kept.keep(_nearest_outside(members, sketches, apart, percent), "pairs")
+            if pairs.isEmpty():
+                break
+            compared = kept.keep(_compared(docs, pairs, hashes, size, percent), "compared")
+            labels = joined_components(labels, compared.where("linked"), kept)
+            apart = apart.unionByName(compared.where("not linked").select("a", "b"))
+        classes = nodes.join(labels, "node", "left").select("node", F.col("rep").alias("class_id"), F.coalesce("label", "node").alias("label"))
+        least = classes.groupBy("label").agg(F.min("class_id").alias("component_id"))
+        classes = classes.join(least, "label").select("node", "class_id", "component_id")
+        out = rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(classes, "node")
+        own = [F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("class_id", "component_id")]
+        return stored(out.select("doc_id", "n_shingles", *own), "similar")

@@ -257,30 +257,59 @@ def shingle_sets(rows, size):
     return out
 
 
-def test_parity_join(spark):
-    r = random.Random(9)
-    base = [" ".join(r.choice(WORDS) + str(r.randrange(50)) for _ in range(n)) for n in (7, 12, 40, 200, 200, 900)]
+def linked_components(rows, size, percent):
+    """The smallest index of a row of each row's component, by comparing all pairs."""
+    sets = list(shingle_sets(list(enumerate(t for _, t in rows)), size).values())
+    label = list(range(len(rows)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                x, y = sorted((root(i), root(j)))
+                label[y] = x
+    return [root(i) for i in range(len(rows))], [len(x) for x in sets]
+
+
+def families(seed, sizes, copies, ids):
+    r = random.Random(seed)
     rows = []
-    for b in base:
-        for copies in range(12):
-            words = b.split()
+    for n in sizes:
+        base = [r.choice(WORDS) + str(r.randrange(50)) for _ in range(n)]
+        for _ in range(copies):
+            words = list(base)
             for _ in range(r.randrange(0, max(1, len(words) // 15) + 1)):
                 words[r.randrange(len(words))] = "new"
-            rows.append((len(rows) * 3 + 1, " ".join(words)))
-    rows += [(900, None), (901, ""), (902, "One two"), (903, "one TWO"), (904, "x")]
-    sets = shingle_sets(rows, 4)
-    label = {i: i for i in sets}
-    for _ in range(len(sets)):
-        for i in sets:
-            for j in sets:
-                both = len(sets[i] & sets[j])
-                if both and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
-                    label[i] = label[j] = min(label[i], label[j])
-        if all(label[label[i]] == label[i] for i in sets):
-            break
-    got = {x.doc_id: x for x in parity_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
-    assert {i: got[i].n_shingles for i in sets} == {i: len(s) for i, s in sets.items()}
-    assert {i: got[i].component_id for i in sets} == label
+            if r.random() < 0.3:
+                words = words[r.randrange(len(words) // 8 + 1) :]
+            rows.append((ids(len(rows)), " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize(("size", "percent", "popular"), [(4, 85, 512), (5, 80, 512), (4, 85, 2), (5, 80, 2), (2, 60, 3)])
+def test_parity_join(spark, monkeypatch, size, percent, popular):
+    monkeypatch.setattr(parity_join, "POPULAR", popular)
+    monkeypatch.setattr(parity_join, "TILE", 8 if popular < 512 else 2048)
+    monkeypatch.setattr(parity_join, "CELL", 3)
+    # ids that are null or stand on several rows, copies, blanks, and a line that most documents share
+    rows = families(popular, (7, 8, 12, 25, 40, 60, 200, 200, 900), 14, lambda k: None if k % 9 == 0 else k * 3 // 2)
+    line = " ".join(f"common{k}" for k in range(40))
+    rows += [(1000 + k, line + " " + prose(30 + k, k)) for k in range(40)]
+    rows += [(2000, None), (2001, ""), (2002, "One two"), (2003, "one TWO"), (2004, "x"), (2004, "x"), (2005, " \t ")]
+    label, n = linked_components(rows, size, percent)
+    least = {}
+    for (i, _), x in zip(rows, label, strict=True):
+        least[x] = min((k for k in (least.get(x), i) if k is not None), default=None)
+    expected = sorted(((i, k, least[x]) for (i, _), k, x in zip(rows, n, label, strict=True)), key=str)
+    docs = spark.createDataFrame([(i, t, "s", 1) for i, t in rows], "doc_id long, text string, node string, th int").repartition(5)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in parity_join.similar_documents(docs, size, percent).collect()), key=str)
+    assert got == expected
+    assert parity_join.similar_documents(docs.limit(0), size, percent).count() == 0
 
 
 def similar(x, y, percent=85):
@@ -298,7 +327,7 @@ def chained(n):
         texts = [" ".join(x) for x in (b[: -r.randrange(1, 4)], b, c)]
         sets = [parity_join.shingles(t, 4) for t in texts]
         if parity_join.node_of(sets[0]) < parity_join.node_of(sets[1]) and [similar(sets[i], sets[j]) for i, j in ((0, 1), (1, 2), (0, 2))] == [True, True, False]:
-            keys = [set(parity_join.block_keys(x, 85).tolist()) for x in sets]
+            keys = [set(parity_join.block_keys(x, 85)[0].tolist()) for x in sets]
             if keys[1] & keys[2] <= keys[0]:
                 found.append(texts)
     return found
