@@ -17,9 +17,9 @@ second and third sketch with other hashes too, and in the last of them with empt
 Sets that are equal are one class. Round 0 compares every class with one of the smallest classes of its keys,
 the nearest by a second sketch (a parity bitmap of SHARP bits for each shingle that may differ): stars, not all
 pairs. Later rounds take the keys whose classes are still in different components, in tiles of fixed size, and
-every component of a tile names its nearest class outside that the sketches don't rule out and that hasn't been
-compared, until there is none. A tile names one pair for each of its components at most, whatever the size of
-a group. All that is named is compared exactly, on the sets.
+every component of a tile names its nearest classes outside that the sketches don't rule out and that haven't
+been compared, one in the first of these rounds and more in each that follows, until there is none. A key that
+names none is done. All that is named is compared exactly, on the sets.
 
 Keys travel packed, a blob of all keys of a task's classes for each partition. Only where all classes of a key
 are together are keys without a partner left out, and equal sets of classes named once. Sets are compared in
@@ -39,7 +39,6 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +46,7 @@ from claimstead.llm.common import Scratch, stored
 from claimstead.llm.components import components, joined_components
 
 LEVELS, SPARE = 3, 0.12
-POPULAR = 512
+POPULAR = 16
 SHARP = 16
 FLUSH = 2_000_000
 TILE = 2048
@@ -64,28 +63,100 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256))
+_LETTER = mixed(_LOWER.astype(np.uint64) * _M1 + _M2)
+_PIECE = 1 << 19
 
 
-_WORD = _Words()
+class _Powers:
+    """Powers of an odd number and of its inverse modulo 2**64."""
 
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
 
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles; A-Z count as a-z."""
-    words = (text or "").encode().lower().split()  # bytes: ASCII alone
-    if not words:
+    def need(self, n: int) -> None:
+        if len(self.up) < n:
+            steps = np.full((2, 1 << (n - 1).bit_length()), [[int(_M1)], [pow(int(_M1), -1, 1 << 64)]], np.uint64)
+            steps[:, 0] = 1
+            self.up, self.down = np.cumprod(steps, axis=1)
+
+
+_POWERS = _Powers()
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of each word; A-Z count as a-z."""
+    raw = np.frombuffer(data, np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[raw], [True]])))
+    starts, ends = edges[::2], edges[1::2]
+    _POWERS.need(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_LETTER[raw] * _POWERS.up[: len(raw)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * _POWERS.down[starts] + (ends - starts).astype(np.uint64) * _M2), starts
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """A long text in pieces that end between words."""
+    at = 0
+    while at < len(data):
+        end = at + _PIECE
+        while end < len(data) and not _SPACE[data[end]]:
+            end += 1
+        yield data[at:end]
+        at = end
+
+
+def _set_of(words: np.ndarray, size: int) -> np.ndarray:
+    size = min(size, len(words))
+    if not size:
         return np.zeros(0, np.uint64)
-    h = np.array([_WORD[w] for w in words], np.uint64)
-    size = min(size, len(h))
-    out = np.full(len(h) - size + 1, size, np.uint64)
+    out = np.full(len(words) - size + 1, size, np.uint64)
     for k in range(size):
-        out = mixed(out * _M1 + h[k : len(h) - size + 1 + k])
-    return np.unique(out)
+        out = mixed(out * _M1 + words[k : len(words) - size + 1 + k])
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
+
+
+def shingle_sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of its shingles."""
+    held, volume = [], 0
+
+    def flush() -> Iterator[np.ndarray]:
+        words, starts = word_hashes(b" ".join(held))
+        cuts = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in held)]))
+        first, n = cuts[:-1], np.diff(cuts)
+        full = np.zeros(0, np.uint64)
+        if len(words) >= size:
+            full = np.full(len(words) - size + 1, size, np.uint64)
+            for k in range(size):
+                full = mixed(full * _M1 + words[k : len(words) - size + 1 + k])
+        for i, m in zip(first.tolist(), n.tolist(), strict=True):
+            if m < size:
+                yield _set_of(words[i : i + m], size)
+            else:
+                own = np.sort(full[i : i + m - size + 1])
+                yield own[np.concatenate([[True], own[1:] != own[:-1]])]
+
+    for text in texts:
+        data = (text or "").encode()
+        if len(data) > _PIECE:
+            if held:
+                yield from flush()
+                held, volume = [], 0
+            yield _set_of(np.concatenate([word_hashes(x)[0] for x in _pieces(data)]), size)
+            continue
+        held.append(data)
+        volume += len(data)
+        if volume >= _PIECE:
+            yield from flush()
+            held, volume = [], 0
+    if held:
+        yield from flush()
+
+
+def shingles(text: str | None, size: int) -> np.ndarray:
+    return next(shingle_sets([text], size))
 
 
 class Bands:
@@ -124,22 +195,27 @@ def bands(percent: int) -> Bands:
 def block_keys(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     """The keys of the join for a set (sorted); and how many of them may be popular before they are needed."""
     out, room = [np.zeros(0, np.uint64)], 1 << 30
+    high, value = tokens >> np.uint64(32), mixed(tokens * _M1 + _M3)
     for group, apart, blocks in bands(percent).groups(len(tokens)):
         spare = blocks - apart - 1
         for level in range(LEVELS):
-            h = tokens if level == 0 else np.sort(mixed(tokens + np.uint64(level * int(_M1) % (1 << 64))))
-            block = (h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
+            if level:
+                h = np.sort(mixed(tokens + np.uint64(level * int(_M1) % (1 << 64))))
+                high, value = h >> np.uint64(32), mixed(h * _M1 + _M3)
+            block = high * np.uint64(blocks) >> np.uint64(32)
             starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            content = np.bitwise_xor.reduceat(mixed(h * _M1 + _M3), starts)
+            # the content is well mixed as it is, so the block's name is only spread and added
             name = np.uint64(group * LEVELS + level << 32)
-            out.append(mixed(content ^ mixed(block[starts] + name)))
+            out.append((np.bitwise_xor.reduceat(value, starts) ^ (block[starts] + name) * _M2) * _M1)
             empty = blocks - len(starts)
             if empty <= spare:
                 room = min(room, -1 if level else spare - empty)
                 break
             if level == LEVELS - 1:
-                out.append(mixed(mixed(np.setdiff1d(np.arange(blocks, dtype=np.uint64), block[starts]) + name)))
+                out.append((np.setdiff1d(np.arange(blocks, dtype=np.uint64), block[starts]) + name) * _M2 * _M1)
                 room = -1
+        if level:
+            high, value = tokens >> np.uint64(32), mixed(tokens * _M1 + _M3)
     return np.concatenate(out), room
 
 
@@ -152,8 +228,11 @@ def check_sketch(tokens: np.ndarray, percent: int) -> bytes:
 
 def sketch_matrix(sketches: list[bytes]) -> np.ndarray:
     """The sketches as rows of 64-bit words, folded to the size of the shortest (a folded sketch is the shorter sketch)."""
+    return folded(sketches, min(map(len, sketches)))
+
+
+def folded(sketches: list[bytes], width: int) -> np.ndarray:
     sizes = np.array([len(s) for s in sketches])
-    width = int(sizes.min())
     out = np.zeros((len(sketches), width // 8), np.uint64)
     for size in np.unique(sizes).tolist():
         at = np.flatnonzero(sizes == size)
@@ -239,8 +318,7 @@ def _staged(docs: DataFrame, size: int, percent: int) -> DataFrame:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 ns, own, sketches, rooms = [], [], [], []
-                for text in part.column(1).to_pylist():
-                    tokens = shingles(text, size)
+                for tokens in shingle_sets(part.column(1).to_pylist(), size):
                     node, sketch_, room = node_of(tokens), None, None
                     if node not in seen:
                         if len(seen) > 1_000_000:
@@ -322,10 +400,11 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return marked.join(several.select("key", "size"), "key")
 
 
-def _nearest_outside(rows: DataFrame, nodes: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b: for each component in a tile of a key its nearest class of another, where sketches allow a link.
+def _nearest_outside(rows: DataFrame, nodes: DataFrame, apart: DataFrame, percent: int, most: int) -> DataFrame:
+    """key, a, b: for each component in a tile of a key its `most` nearest pairs with a class of another, where sketches allow a link.
 
-    rows: as of _open(); apart: pairs (a, b), a < b, that don't link and aren't named again.
+    rows: as of _open(); apart: pairs (a, b), a < b, that don't link and aren't named again. A pair may be
+    named once for a task; a key with a pair named elsewhere comes with nulls, for it isn't done yet.
     """
     rows = rows.withColumn("tiles", F.ceil(F.col("size") / TILE)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")))
     # tile pairs (i, j), i <= j, with the row's own tile as either
@@ -334,60 +413,77 @@ def _nearest_outside(rows: DataFrame, nodes: DataFrame, apart: DataFrame, percen
     known = apart.groupBy("a").agg(F.collect_list("b").alias("known")).withColumnRenamed("a", "node")
     rows = rows.join(nodes.join(known, "node", "left"), "node")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    columns = ["key", "i", "j", "node", "label", "own", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
         named: set[tuple[int, int]] = set()
 
-        def pairs() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held)
-            node, label, n, own = (t[c].to_numpy() for c in ("node", "label", "n", "own"))
-            _, component, sizes = np.unique(label, return_inverse=True, return_counts=True)
-            if len(sizes) < 2:
-                return
-            s = sketch_matrix(t["sketch"].to_pylist())
-            place = {x: k for k, x in enumerate(node.tolist())}
-            done: dict[int, list[int]] = {}
-            for x, partners in enumerate(t["known"].to_pylist()):
-                for y in (place[p] for p in partners or () if p in place):
-                    done.setdefault(x, []).append(y)
-                    done.setdefault(y, []).append(x)
-            same_tile = at[1] == at[2]
-            best: dict[int, tuple[int, int, int]] = {}
-            for x in np.flatnonzero(component != sizes.argmax()).tolist():
-                ok = component != component[x]
-                if not same_tile:
-                    ok &= own != own[x]
-                ok[done.get(x, [])] = False
-                y = np.flatnonzero(ok)
-                distance = np.bitwise_count(s[y] ^ s[x]).sum(1, dtype=np.int64)
-                ok = may_link(percent, distance, n[y], n[x])
-                if ok.any():
-                    y, distance = y[ok], distance[ok]
-                    k = np.lexsort((node[y], distance))[0]
-                    found = int(distance[k]), min(int(node[x]), int(node[y[k]])), max(int(node[x]), int(node[y[k]]))
-                    c = int(component[x])
-                    best[c] = min(best.get(c, found), found)
-            new = sorted({x[1:] for x in best.values()} - named)
-            named.update(new)
-            if new:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*new, strict=True)], ["a", "b"])
+        def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            """All pairs of rows at a distance of 1, 2 ... within a tile, for all tiles of the table at once."""
+            key, i, j, node, label, own, n = (t[c].to_numpy() for c in columns)
+            tile = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+            sketches, known = t["sketch"].to_pylist(), t["known"].to_pylist()
+            width = np.array([len(x) for x in sketches])
+            width = np.minimum.reduceat(width, np.flatnonzero(np.diff(tile, prepend=-1)))[tile]
+            best: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+            for size in np.unique(width).tolist():
+                at = np.flatnonzero(width == size)
+                s = folded([sketches[k] for k in at], size)
+                for step in range(1, int(np.bincount(tile[at]).max())):
+                    x, y = at[:-step], at[step:]
+                    same = tile[x] == tile[y]
+                    if not same.any():
+                        break
+                    left = np.flatnonzero(same & (label[x] != label[y]) & ((i[x] == j[x]) | (own[x] != own[y])))
+                    x, y = x[left], y[left]
+                    if len(left):
+                        distance = np.bitwise_count(s[left] ^ s[left + step]).sum(1, dtype=np.int64)
+                        near = np.flatnonzero(may_link(percent, distance, n[x], n[y]))
+                        for x_, y_, d in zip(x[near].tolist(), y[near].tolist(), distance[near].tolist(), strict=True):
+                            a, b = sorted((x_, y_), key=lambda k: int(node[k]))
+                            if known[a] is None or int(node[b]) not in known[a]:
+                                found = d, int(node[a]), int(node[b])
+                                for component in (int(label[a]), int(label[b])):
+                                    heap = best.setdefault((int(tile[a]), component), [])
+                                    heap.append(found)
+                                    if len(heap) > 4 * most:
+                                        heap.sort()
+                                        del heap[most:]
+            largest = {}
+            if best:
+                tiles, first = np.unique(tile, return_index=True)
+                for k in {k for k, _ in best}:
+                    own_labels, sizes = np.unique(label[tile == k], return_counts=True)
+                    largest[k] = int(own_labels[sizes.argmax()]), int(key[first[k]])
+            out = set()
+            for (k, component), heap in best.items():
+                if component != largest[k][0]:  # what the largest would name, the others do
+                    new = {x[1:] for x in sorted(heap)[:most]} - named
+                    named.update(new)
+                    out |= {(largest[k][1], *x) for x in new} or {(largest[k][1], None, None)}
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["key", "a", "b"])
 
+        held: list[pa.RecordBatch] = []
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            # whole tiles only: all but the last tile of what is there
             k, i, j = (batch.column(c).to_numpy() for c in ("key", "i", "j"))
-            ends = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            for start, end in zip([0, *ends], [*ends, len(k)], strict=True):
-                if start == end:
-                    continue
-                if at != (k[start], i[start], j[start]) and held:
-                    yield from pairs()
-                    held = []
-                at = (k[start], i[start], j[start])
-                held.append(batch.slice(start, end - start))
+            changes = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            if held and any(held[-1].column(c)[held[-1].num_rows - 1].as_py() != int(v[0]) for c, v in (("key", k), ("i", i), ("j", j))):
+                yield from pairs(pa.Table.from_batches(held))
+                held = []
+            if len(changes):
+                cut = int(changes[-1])
+                yield from pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = [batch.slice(cut)]
+            else:
+                held.append(batch)
         if held:
-            yield from pairs()
+            yield from pairs(pa.Table.from_batches(held))
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.select(*columns, "sketch", "known").mapInArrow(run, "key long, a long, b long")
 
 
 def _compared(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -409,14 +505,14 @@ def _compared(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int, pe
         seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                part, found = batch.slice(at, 500), {}
+                part, new = batch.slice(at, 500), {}
                 for text, th in zip(part.column("text"), part.column("th").to_pylist(), strict=True):
                     if th not in seen:
                         if len(seen) > 1_000_000:
                             seen.clear()
                         seen.add(th)
-                        tokens = shingles(text.as_py(), size)
-                        found[node_of(tokens)] = tokens.tobytes()
+                        new[th] = text.as_py()
+                found = {node_of(tokens): tokens.tobytes() for tokens in shingle_sets(list(new.values()), size)}
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["node", "tokens"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -457,16 +553,20 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
         sketches, hashes = nodes.select("node", "n", "sketch"), nodes.select("node", "th")
         pairs = kept.keep(_stars(members, sketches, percent), "pairs")
         compared = kept.keep(_compared(docs, pairs, hashes, size, percent), "compared")
-        labels, apart = components(compared.where("linked"), kept), compared.where("not linked").select("a", "b")
+        labels, apart, most = components(compared.where("linked"), kept), compared.where("not linked").select("a", "b"), 1
         while True:
             before, members = members, kept.keep(_open(members, labels), "open")
-            kept.drop(before, pairs)
-            pairs = kept.keep(_nearest_outside(members, sketches, apart, percent), "pairs")
+            kept.drop(before)
+            named = kept.keep(_nearest_outside(members, sketches, apart, percent, most), "named")
+            pairs = kept.keep(named.where("a is not null").select("a", "b").distinct(), "pairs")
             if pairs.isEmpty():
                 break
             compared = kept.keep(_compared(docs, pairs, hashes, size, percent), "compared")
             labels = joined_components(labels, compared.where("linked"), kept)
             apart = apart.unionByName(compared.where("not linked").select("a", "b"))
+            # keys that named nothing never will; the more rounds, the more pairs at once
+            before, members, most = members, kept.keep(members.join(named.select("key").distinct(), "key", "left_semi"), "members"), 8 * most
+            kept.drop(before, named)
         classes = nodes.join(labels, "node", "left").select("node", F.col("rep").alias("class_id"), F.coalesce("label", "node").alias("label"))
         least = classes.groupBy("label").agg(F.min("class_id").alias("component_id"))
         classes = classes.join(least, "label").select("node", "class_id", "component_id")
