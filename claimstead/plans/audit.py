@@ -9,6 +9,7 @@ from claimstead.operators import claims as cl
 from claimstead.operators import registries as rg
 from claimstead.operators.flags import with_features, with_flags
 from claimstead.operators.scoring import with_verdict
+from claimstead.sources.shared import durable
 
 
 def with_statuses(subjects: DataFrame, responses: DataFrame) -> DataFrame:
@@ -25,10 +26,15 @@ def with_statuses(subjects: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def audit(subjects: DataFrame, now_year: int, responses: DataFrame | None = None, banks: dict | None = None) -> DataFrame:
-    """subjects (text, and what flags.OPTIONAL names) -> the same with claims, domains, flags and verdict."""
+    """subjects (text, and what flags.OPTIONAL names) -> the same with claims, domains, flags and verdict.
+
+    With responses the claims are extracted once and kept, unless they are there already: the lookups and the
+    audit itself both read them.
+    """
     rows = subjects
     if responses is not None:
-        rows = with_statuses(cl.with_claims(subjects), responses)
+        extracted = subjects if "claims" in subjects.columns else durable(cl.with_claims(subjects))
+        rows = with_statuses(extracted, responses)
     return with_verdict(with_flags(with_features(rows, banks), now_year))
 
 

@@ -22,7 +22,9 @@ from claimstead.operators import registries as rg
 from claimstead.operators import report as rp
 from claimstead.operators import scoring as sc
 from claimstead.plans import audit as au
+from claimstead.plans.expected import EXPECTED
 from claimstead.sources import corpus as co
+from claimstead.sources.shared import durable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -135,8 +137,9 @@ on_subjects("ext_degree", None, lambda s: s.select("subject_id", F.explode(cl.de
 on_subjects("ext_degree_institution", None, lambda s: s.select("subject_id", F.explode(cl.degrees(_text())).alias("d")).where("d.inst <> ''").select("subject_id", F.col("d.inst").alias("value")))
 on_subjects("ext_mentioned_institution", None, lambda s: _claims_of(s, "mentioned_institution"))
 _SQL_CAPS = r"([A-Z][\w&-]*(?:[ \t][A-Z][\w&-]*){0,3})"
+_SQL_LED = r"\b(CEO|CTO|President|Founder|Co-founder|Chairman|Managing Director|Head of [A-Z]\w+)\b\s*(?:of|at|@)\s+" + _SQL_CAPS
 on_subjects(
-    "ext_leadership", "SELECT subject_id, unnest(list_transform(regexp_extract_all(text, " + _q(r"\b(?:CEO|CTO|President|Founder|Co-founder|Chairman|Managing Director|Head of [A-Z]\w+)\b\s*(?:of|at|@)\s+" + _SQL_CAPS) + r"), lambda m: regexp_replace(m, '\s*\b(?:of|at|@)\s+([A-Z][\w& \t-]*)$', ' of \1'))) AS value FROM subjects",
+    "ext_leadership", f"SELECT subject_id, unnest(list_transform(list_zip(regexp_extract_all(text, {_q(_SQL_LED)}, 1), regexp_extract_all(text, {_q(_SQL_LED)}, 2)), lambda x: x[1] || ' of ' || x[2])) AS value FROM subjects",
     lambda s: s.select("subject_id", F.explode(cl.leadership(_text())).alias("value")),
 )
 on_subjects("ext_owned_org", "SELECT subject_id, unnest(regexp_extract_all(text, " + _q(r"(?i:founder|co-founder|founded|president|created|established|my company|chairman|owner|ceo|cto)\s+(?i:(?:and\s+\w+\s+)?(?:of|at|@))\s+" + _SQL_CAPS) + ", 1)) AS value FROM subjects", lambda s: s.select("subject_id", F.explode(cl.owned(_text())).alias("value")))
@@ -169,14 +172,11 @@ query("transfer_map", "SELECT * FROM (VALUES " + ", ".join(f"({_q(a)}, {_q(b)})"
 
 
 # ── flags and scores ─────────────────────────────────────────────────────
-def responses_for(s: DataFrame) -> DataFrame:
-    return co.registry_response(cl.exploded(cl.with_claims(s), "subject_name"))
-
-
 def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = co.subjects(spark, sf_dir)
     urls = F.when(F.col("source_url").isNull(), F.expr("CAST(array() AS array<string>)")).otherwise(F.array("source_url"))
-    return au.audit(s.withColumn("source_urls", urls), co.NOW_YEAR, responses_for(s))
+    s = durable(cl.with_claims(s.withColumn("source_urls", urls)))
+    return au.audit(s, co.NOW_YEAR, co.registry_response(cl.exploded(s, "subject_name")))
 
 
 for _id, *_ in fl.FLAGS:
@@ -225,13 +225,8 @@ query("ambiguous_acronym", "SELECT n_name, length(substr(n_name, 1, CAST(n_natio
 
 # ── registries and providers ─────────────────────────────────────────────
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = cl.with_claims(co.subjects(spark, sf_dir))
-    rows = cl.exploded(s, "subject_id", "subject_name")
-    ror = rows.where("subtype = 'degree_institution'").dropDuplicates(["value"]).withColumn("p", F.pmod(F.xxhash64("value"), F.lit(4)))
-    item = lambda v: F.concat(F.lit('{"items":[{"id":"r0","names":[{"value":"Institute of Other Things"}]},{"id":"r1","names":[{"value":"'), v, F.lit('"}]}]}'))
-    body = F.when(F.col("p") == 0, item(F.concat(F.col("value"), F.lit(" Campus")))).when(F.col("p") == 1, item(F.lit("Nowhere School")))
-    ror = ror.select(F.lit("ror").alias("registry"), F.col("value").alias("key"), F.when(F.col("p") == 2, 404).when(F.col("p") == 3, 503).otherwise(200).alias("http_status"), body.alias("body"))
-    return rg.verify_all(rows, co.registry_response(rows).unionByName(ror))
+    rows = durable(cl.exploded(cl.with_claims(co.subjects(spark, sf_dir)), "subject_id", "subject_name"))
+    return rg.verify_all(rows, co.registry_response(rows))
 
 
 for _sub in rg.CHECKED:
@@ -323,3 +318,5 @@ query("report_html")(lambda s, d: (r := _reported(s, d)).select("subject_id", rp
 query("batch_csv")(lambda s, d: au.summary(audited(s, d)).withColumn("timestamp", F.lit(STAMP)).select(F.to_csv(F.struct("target", "level", "score", "coverage_pct", "specificity", "triggered_flags", "timestamp")).alias("line")))
 query("audit_list", "SELECT 'f' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS file_name FROM orders ORDER BY 1 DESC LIMIT 20")(lambda s, d: rp.latest(s.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit("f"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("file_name"))))
 query("slug", "SELECT c_custkey AS subject_id, coalesce(nullif(substr(regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40), ''), 'audit') AS slug FROM customer")(lambda s, d: s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("subject_id"), tx.slug(F.col("c_name")).alias("slug")))
+
+ORACLE_SQL.update(EXPECTED)

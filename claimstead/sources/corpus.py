@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimstead.sources.shared import spread
+
 NOW_YEAR = 2026
 
 FIRST = ["Alma", "Bertil", "Célia", "Dagny", "Egon", "Frida", "Gustav", "Hanne", "Ivar", "Jorun", "Klaas", "Lieve", "Mirek"]
 LAST = ["Abelsen", "Bramwell", "Cordova", "Dierickx", "Engström", "Fairholme", "Gorski", "Haldane", "Idris", "Jurgens", "Kestler", "Lindqvist", "Marchetti", "Nordahl", "Oakeshott", "Petrossian", "Quist"]
 
-#: Column expression parts: {n} the name, {k} the key, {c} the nation, {b} the balance's whole part.
+#: Column expression parts: {n} the name, {k} the key in seven digits, {f} its last five, {h} its second to fourth, {g} its last three, {c} the nation, {b} the balance's whole part.
 FRAGMENTS: list[list[str]] = [
     [  # titles
         "", "Dr. {n} leads a small team. ", "Grants were coordinated by Dr. Somebody Else. ", "Prof. {n} speaks often. ", "{n} lives in {c}. ",
@@ -43,14 +45,14 @@ FRAGMENTS: list[list[str]] = [
         "A visionary, disruptive, world-class and holistic moonshot with synergy. ", "", "A paradigm shift in seamless logistics. ", "Never disruptive. ",
     ],
     [  # identifiers
-        "See https://doi.org/10.1234/abc.{k} for details. ", "Preprint at arxiv.org/abs/2101.0{k}. ", "Profile orcid.org/0000-0002-1825-009{k}. ", "Code at github.com/user{k}/tools. ", "Trial NCT0{k}. ", "Patent US {k} B2. ",
+        "See https://doi.org/10.1234/abc.{k} for details. ", "Preprint at arxiv.org/abs/2101.{f}. ", "Profile orcid.org/0000-0002-9{h}-9{g}. ", "Code at github.com/user{k}/tools. ", "Trial NCT0{k}. ", "Patent US {k} B2. ",
         "Our peer-reviewed and FDA cleared work. ", "ISO 9001 certified. ", "Still in development and stealth. ", "", "Code at github.com/user{k}. ", "", "Working on a roadmap. ",
     ],
     [  # time
         "Has 15 years of experience. ", "Over forty years of experience since 2015. ", "Graduated 1998, with twelve years in banking. ", "Full deployment is targeted for 2035. ", "Active since 2041. ", "", "Started in 2007 and 2011. ",
     ],
     [  # recognition
-        "Featured in Forbes. ", "", "Awarded twice and keynote speaker. ", "Not featured in Forbes. ", "",
+        "Featured in Forbes. ", "", "Awarded twice and keynote speaker. ", "Not featured in Forbes. ", "Guest of the Oststadt Institute for a while. ",
     ],
 ]
 URLS = ["", "https://www.medium.com/@a{k}", "https://news.example.org/story/{k}", "https://spokeo.com/n{k}", "https://uk.linkedin.com/in/a-{k}", "", "http://vox.com/a/{k}"]
@@ -63,7 +65,7 @@ def _quoted(s: str) -> str:
 
 def _filled(fragment: str) -> str:
     """A fragment as a SQL string expression."""
-    holes = {"{n}": "name", "{k}": "code", "{c}": "nation", "{b}": "balance"}
+    holes = {"{n}": "name", "{k}": "code", "{f}": "substr(code, 3, 5)", "{h}": "substr(code, 2, 3)", "{g}": "substr(code, 5, 3)", "{c}": "nation", "{b}": "balance"}
     parts, rest = [], fragment
     while rest:
         at = min((rest.index(h) for h in holes if h in rest), default=len(rest))
@@ -99,11 +101,11 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
 
 def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables(spark, sf_dir, "customer", "nation")
-    return spark.sql(subjects_sql())
+    return spread(spark.sql(subjects_sql()))
 
 
-# What the registries said about the corpus's identifiers: a quarter belongs to the subject, a quarter to
-# another, a quarter doesn't exist, and the rest was unreachable or answered with rubbish.
+# What the registries said about the corpus's identifiers: two fifths belong to the subject, a fifth to another,
+# a fifth doesn't exist, a fifth was unreachable, by the last three digits of the subject's key in the identifier.
 _BODIES = {
     "doi": """concat('{"message":{"title":["On ',code,'"],"author":[{"given":"',given,'","family":"',family,'"}]}}')""",
     "arxiv": """concat('<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/abs/1</id><title>On ',code,'</title><author><name>',given,' ',family,'</name></author></entry></feed>')""",
@@ -114,16 +116,28 @@ _BODIES = {
 }
 
 
+#: Institutions of the corpus: status of the answer and the name that is listed.
+_LISTED = {
+    "University of Brabel": (200, "University of Brabel, North Campus"), "Technische Hochschule": (503, None), "Norfield School of Commerce": (200, "Nowhere School"),
+    "Lindwall College": (404, None), "Academy of Lindwall": (200, "Lindwall Academy"),
+}
+_ITEMS = """concat('{"items":[{"id":"r0","names":[{"value":"Institute of Other Things"}]},{"id":"r1","names":[{"value":"',listed,'"}]}]}')"""
+
+
 def registry_response(claims: DataFrame) -> DataFrame:
-    """claims (subject_id, subject_name, subtype, value) -> registry, key, http_status, body."""
-    part = F.pmod(F.xxhash64("subtype", "value"), F.lit(5))
-    own = part < 2
+    """claims (subject_name, subtype, value) -> registry, key, http_status, body."""
     names = F.split("subject_name", " ")
-    rows = claims.where(F.col("subtype").isin(*_BODIES)).dropDuplicates(["subtype", "value"])
-    rows = rows.withColumns({"given": F.when(own, names[0]).otherwise("Oda"), "family": F.when(own, names[1]).otherwise("Ruiz"), "code": F.col("value"), "part": part})
-    body = F.coalesce(*(F.when(F.col("subtype") == k, F.expr(v)) for k, v in _BODIES.items()))
-    status = F.when(F.col("part") == 3, 404).when(F.col("part") == 4, 503).otherwise(200)
-    return rows.select(F.col("subtype").alias("registry"), F.col("value").alias("key"), status.alias("http_status"), F.when(status == 200, body).alias("body"))
+    rows = claims.where(F.col("subtype").isin(*_BODIES, "degree_institution")).select("subtype", "value", "subject_name").dropDuplicates(["subtype", "value"])
+    digits = F.regexp_replace(F.regexp_replace("value", " B2$", ""), "[^0-9]", "")
+    part = F.expr("try_cast(right(digits, 3) as int) div 5 % 5")
+    own = F.col("part") < 2
+    listed = lambda i: F.coalesce(*(F.when(F.col("value") == v, F.lit(x[i])) for v, x in _LISTED.items()))
+    rows = rows.withColumn("digits", digits).withColumn("part", part)
+    rows = rows.withColumns({"given": F.when(own, names[0]).otherwise("Oda"), "family": F.when(own, names[1]).otherwise("Ruiz"), "code": F.col("value"), "listed": listed(1)})
+    school = F.col("subtype") == "degree_institution"
+    body = F.coalesce(F.when(school, F.expr(_ITEMS)), *(F.when(F.col("subtype") == k, F.expr(v)) for k, v in _BODIES.items()))
+    status = F.when(school, listed(0)).when(F.col("part") == 3, 404).when(F.col("part") == 4, 503).otherwise(200)
+    return rows.select(F.when(school, "ror").otherwise(F.col("subtype")).alias("registry"), F.col("value").alias("key"), status.alias("http_status"), F.when(status == 200, body).alias("body"))
 
 
 # ── readers ──────────────────────────────────────────────────────────────
