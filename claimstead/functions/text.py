@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def host_of(url: Column) -> Column:
@@ -18,16 +22,24 @@ def host_matches(url: Column, domains: list[str]) -> Column:
     return (host != "") & F.exists(F.array(*map(F.lit, clean)), lambda d: (host == d) | F.endswith(host, F.concat(F.lit("."), d)))
 
 
+@F.pandas_udf(T.StringType())
+def _decoded(text: pd.Series) -> pd.Series:
+    return text.map(html.unescape, na_action="ignore")
+
+
 def unescaped(text: Column) -> Column:
-    """The common named entities and decimal ones of ASCII; the ampersand last."""
-    for name, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(mark))
-    return text
+    """Character references of HTML5 decoded, named and numeric ones. No built-in does this; texts without any stay in the JVM."""
+    return F.when(F.contains(text, F.lit("&")), _decoded(F.when(F.contains(text, F.lit("&")), text))).otherwise(text)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def unescaped_all(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda xs: [html.unescape(x) for x in xs], na_action="ignore")
 
 
-def page_text(html: Column, most: int = 6000) -> Column:
+def page_text(page: Column, most: int = 6000) -> Column:
     """Readable text of a page: no scripts, styles or tags; entities decoded; white space collapsed."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style|noscript)[^>]*>.*?</\1>", " ")
+    bare = F.regexp_replace(page, r"(?is)<(script|style|noscript)[^>]*>.*?</\1>", " ")
     bare = F.trim(unescaped(F.regexp_replace(bare, "<[^>]+>", "")))
     return F.substring(F.regexp_replace(bare, r"(?U)\s+", " "), 1, most)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimstead.functions.text import unescaped
+from claimstead.functions.text import unescaped_all
 from claimstead.operators.names import name_matches, org_tokens_of
 
 VERIFIED, MISMATCH, NOT_FOUND, UNCHECKABLE, UNCHECKED = "VERIFIED", "MISMATCH", "NOT_FOUND", "UNCHECKABLE", "UNCHECKED"
@@ -54,7 +54,7 @@ def _candidates(subtype: str, body: Column, value: Column) -> tuple[Column, Colu
     if subtype == "nct":
         return F.from_json(body, _SCHEMAS["nct"])["protocolSection"]["identificationModule"].isNotNull(), F.lit(False), none
     title = F.trim(F.regexp_extract(body, "(?is)<title>(.*?)</title>", 1))
-    inventors = F.transform(F.regexp_extract_all(body, F.lit('<dd itemprop="inventor"[^>]*>([^<]+)</dd>'), F.lit(1)), lambda v: F.trim(unescaped(v)))
+    inventors = F.transform(unescaped_all(F.regexp_extract_all(body, F.lit('<dd itemprop="inventor"[^>]*>([^<]+)</dd>'), F.lit(1))), lambda v: F.trim(v))
     return F.lit(True), (title == "") | F.contains(F.lower(title), F.lit("not found")), inventors
 
 

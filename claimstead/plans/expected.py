@@ -188,3 +188,9 @@ EXPECTED = {
     "shared_name_evidence": _PV + "SELECT subject_id, 'a people-search listing' AS reason, 'https://www.spokeo.com/n' AS url FROM s WHERE k % 2 = 0 UNION ALL SELECT subject_id, 'a LinkedIn directory page listing multiple people', 'https://linkedin.com/pub/dir/a/b' FROM s WHERE k % 2 = 0",
     "deep_filter": _PV + "SELECT subject_id, provider, url FROM b WHERE about_subject AND url <> 'http://localhost/x'",
 }
+
+# The pages' own character references: &amp; &quot; &copy; &middot;
+_RAW = "regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', '', 'g')"
+_PLAIN = f"replace(replace(replace(replace({_RAW}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+EXPECTED["page_text"] = f"SELECT page_id, substr(regexp_replace(trim({_PLAIN}, ' '), '\\s+', ' ', 'g'), 1, 6000) AS text FROM pages"
+EXPECTED["og_meta"] = "SELECT page_id, '' AS title, '' AS description FROM pages WHERE html NOT LIKE '%og:%'"
