@@ -17,9 +17,11 @@ A block has a fixed number of rows, whatever the keys are.
 
 The projection's centre and range are fitted on at most FIT vectors.
 
-Defined results: vectors that are null, zero, not of the most frequent length, or that hold null or
-non-finite components take no part, neither do rows without id; rows with the same id and vector are one;
-with fewer candidates than asked for, all found are returned; an empty table gives an empty result.
+Defined results: vectors that are null, zero, or that hold null or non-finite components take no part, neither
+do rows without id; shorter vectors count as filled up with zeros; a repeated row is a candidate of its own, of
+which a query leaves one out, itself; ids name vectors, so of different vectors under one id that is the
+smallest of their classes one is indexed; with fewer candidates than asked for, all found are returned; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -96,9 +98,10 @@ def _usable(vectors: DataFrame) -> DataFrame:
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("embedding"))
     rows = rows.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~bad & F.exists("embedding", lambda v: v != 0))
-    sizes = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    longest = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    filled = F.concat("embedding", F.array_repeat(F.lit(0.0), F.lit(longest) - F.size("embedding")))
     # one form of zero, so that equal vectors are equal bytes
-    return rows.where(F.size("embedding") == (sizes["n"] if sizes else 0)).withColumn("embedding", F.transform("embedding", lambda v: v + F.lit(0.0)))
+    return rows.withColumn("embedding", F.transform(filled, lambda v: v + F.lit(0.0)))
 
 
 def _first(rows: DataFrame, key: list[str], order: str, most: int, salts: int = 64) -> DataFrame:
@@ -158,10 +161,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, orderings: int =
     """vectors (vec_id, embedding); is_query: a condition on vec_id -> query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     rows = _usable(vectors).withColumns({"h1": F.xxhash64("embedding"), "h2": F.hash("embedding")})
-    ids = durable(rows.select("vec_id", "h1", "h2").distinct())
+    ids = durable(rows.select("vec_id", "h1", "h2"))
     members = durable(_first(ids, ["h1", "h2"], "vec_id", k + 1))
     classes = durable(members.groupBy("h1", "h2").agg(F.min("vec_id").alias("class")))
-    queries = durable(ids.where(is_query).join(classes, ["h1", "h2"]).select("vec_id", "class"))
+    queries = durable(ids.where(is_query).join(classes, ["h1", "h2"]).select("vec_id", "class").distinct())
     asked = queries.select("class").distinct().withColumn("asked", F.lit(True))
     named = rows.withColumnRenamed("vec_id", "class").join(classes, ["class", "h1", "h2"])
     indexed = durable(named.select("class", "embedding").dropDuplicates(["class"]))
@@ -225,6 +228,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, orderings: int =
     full = members.join(classes, ["h1", "h2"]).select("class", F.col("vec_id").alias("found_id"))
     near = merged.join(full, "class").groupBy("asking").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "found_id"))), 1, k + 1).alias("near"))
     each = queries.select(F.col("vec_id").alias("query_id"), F.col("class").alias("asking")).join(near, "asking")
-    others = F.slice(F.filter("near", lambda x: x["found_id"] != F.col("query_id")), 1, k)
+    own = F.array_position(F.transform("near", lambda x: x["found_id"]), F.col("query_id")) - 1
+    others = F.slice(F.filter("near", lambda x, i: i != own), 1, k)
     out = each.select("query_id", F.posexplode(others).alias("pos", "x"))
     return out.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.found_id").alias("vec_id"), (-F.col("x.less")).alias("score"))

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLOTS, SAMPLE, SMOOTH = 1 << 14, 2000, 0.5
+LANGUAGES = 512
 FEW, DRAWS, SEED = 6, 200, 20
 SHARPNESS, AMBIGUOUS = 6.0, 0.1
 UNKNOWN = "und"
@@ -96,14 +97,18 @@ class Model:
 
 
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """labelled: text, lang (neither null). About `sample` documents of each language are taken."""
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    """labelled: text, lang (neither null). About `sample` documents of each language are taken, by a hash of their text.
+
+    Of more than LANGUAGES values of lang those with the most documents are learned.
+    """
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return Model({})
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample / n))))
-    placed = labelled.withColumn("place", F.monotonically_increasing_id())
-    chance = F.pmod(F.xxhash64(F.lit(SEED), "place"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = placed.where(chance < share[F.col("lang")]).select("text", "lang")
+    hashed = labelled.withColumn("h", F.xxhash64(F.lit(SEED), "text"))
+    chance = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
+    # a text counts once, so that a hot one neither fills the sample nor decides it
+    chosen = hashed.where(chance < F.try_element_at(share, "lang")).dropDuplicates(["lang", "h"]).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

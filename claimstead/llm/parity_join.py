@@ -39,6 +39,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -299,7 +300,8 @@ def _staged(docs: DataFrame, size: int, percent: int) -> DataFrame:
     parts = len(names)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, nodes, counts, total, turn = [], [], [], 0, 0
+        held, nodes, counts, total = [], [], [], 0
+        turn = TaskContext.get().partitionId() * 31  # rows of documents go round the partitions, from another one in each task
         seen: set[int] = set()
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -336,7 +338,7 @@ def _staged(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     sketches.append(sketch_)
                     rooms.append(room)
                 turn += 1
-                yield _rows("doc", part=[int(names[turn % parts])] * len(ns), doc_id=part.column(0), th=part.column(2), n=ns, node=own, sketch=sketches, key=rooms)
+                yield _rows("doc", part=[int(names[(turn + k // 100) % parts]) for k in range(len(ns))], doc_id=part.column(0), th=part.column(2), n=ns, node=own, sketch=sketches, key=rooms)
                 if total >= FLUSH:
                     yield from flush()
                     held, nodes, counts, total = [], [], [], 0

@@ -31,6 +31,7 @@ from claimstead.llm.common import durable
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("other", "lower", "upper", "digit", "blank", "line end", "sentence mark", "symbol", "non-ASCII", "inside")
 BUCKETS, COMMON = 1 << 14, 96
+LANGUAGES = 512
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: The comparisons' minimum lengths and largest distances.
 LEAST_CHARS, LEAST_COMMON = 200, 50
@@ -138,7 +139,7 @@ class Reference:
 
 
 def language_references(docs: DataFrame) -> dict[str | None, Reference]:
-    """From all documents. Bounded by the number of languages."""
+    """From all documents, for the LANGUAGES values of lang (null is one) with the most words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str | None, np.ndarray] = defaultdict(lambda: np.zeros(BUCKETS + 9, np.int64))
@@ -156,7 +157,10 @@ def language_references(docs: DataFrame) -> dict[str | None, Reference]:
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(run, "lang string, slot int, n long")
     sums = durable(rows.groupBy("lang", "slot").agg(F.sum("n").alias("n")))
     words = sums.where(F.col("slot") < BUCKETS)
-    totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    most = words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    totals = {r["lang"]: r["n"] for r in most}
+    known = F.col("lang").isin([x for x in totals if x is not None]) | (F.lit(None in totals) & F.col("lang").isNull())
+    sums, words = sums.where(known), words.where(known)
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "slot")
     common, classes = defaultdict(list), defaultdict(lambda: [0.0] * 9)
     for r in words.withColumn("place", F.row_number().over(order)).where(F.col("place") <= COMMON).collect():

@@ -125,6 +125,8 @@ def _staged(docs: DataFrame, vocabulary: str, end_id: int, width: int) -> DataFr
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.frombuffer(encode(text) + end, "<u4")
+                if int(ids.max()) >> 8 * width:
+                    raise ValueError(f"an id of this vocabulary needs more than {width} bytes")
                 stored, start, addresses = ids.astype(f"<u{width}").tobytes(), 0, []
                 for at in cut_points(ids):
                     payload = stored[width * start : width * at]

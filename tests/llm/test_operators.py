@@ -200,15 +200,17 @@ def test_personal_data(spark):
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     vectors = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]
-    vectors += [(i, [1.0] * 8) for i in range(300, 340)] + [(400, None), (401, [0.0] * 8), (402, [float("nan")] * 8), (403, [1.0, None] * 4), (404, [1.0])]
+    vectors += [(i, [1.0] * 8) for i in range(300, 340)] + [(20, vectors[20][1]), (21, vectors[21][1]), (404, [2.0, 1.0])]  # ties, repeated rows, a short one
+    good = [(i, np.array([*v, *[0] * (8 - len(v))], np.float32).astype(float)) for i, v in vectors]
+    vectors += [(400, None), (401, [0.0] * 8), (402, [float("nan")] * 8), (403, [1.0, None] * 4), (None, [1.0] * 8)]
     frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
     got = {}
     for r in hilbert_neighbours.nearest(frame, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
-    good = [(i, np.array(v, np.float32).astype(float)) for i, v in vectors[:340]]
-    for q, v in good[::20]:
-        best = sorted((-(v @ w), i) for i, w in good if i != q)[:20]
-        assert got[q] == [i for _, i in best]
+    for at, (q, v) in enumerate(good[:340]):
+        if q % 20 == 0:
+            best = sorted((-(v @ w), i) for k, (i, w) in enumerate(good) if k != at)[:20]
+            assert got[q] == [i for _, i in best]
     assert hilbert_neighbours.nearest(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
