@@ -1,7 +1,7 @@
 """Typed claims in free text: identifiers, degrees, roles, partnerships, traction and dates.
 
 A text's claims are one array column in order of emission, built from the built-in regular-expression and
-array functions alone, so extraction is a projection and a corpus is read once.
+array functions alone, so extraction is a projection. Whoever reads the claims more than once keeps them first.
 """
 
 from __future__ import annotations
@@ -62,22 +62,36 @@ DETAIL = r"(?iU)\b\d[\d,.]*\s?(?:%|€|\$|£|k\b|m\b|users|employees|patients|un
 LINK = r"(?iU)\bhttps?://\S+"
 HARD = ["doi", "orcid", "github", "arxiv", "nct", "patent"]
 
-CLAIM = "array<struct<kind:string,subtype:string,value:string,negated:boolean>>"
+CLAIM = "array<struct<kind:string,subtype:string,value:string,context:string,negated:boolean>>"
+#: Characters of context on either side of a match.
+AROUND = 30
 
 
-def _claim(kind: str, subtype: Column | str, value: Column, denied: Column | None = None) -> Column:
+def _claim(kind: str, subtype: Column | str, value: Column, context: Column, denied: Column | None = None) -> Column:
     subtype = F.lit(subtype) if isinstance(subtype, str) else subtype
     denied = F.lit(False) if denied is None else denied
-    return F.struct(F.lit(kind).alias("kind"), subtype.alias("subtype"), value.alias("value"), denied.alias("negated"))
+    return F.struct(F.lit(kind).alias("kind"), subtype.alias("subtype"), value.alias("value"), context.alias("context"), denied.alias("negated"))
 
 
 def _all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _contexts(text: Column, pattern: str) -> Column:
+    """What surrounds each match, with white space collapsed: in the order of _all()."""
+    low = lambda m: F.greatest(m["start"] - AROUND, F.lit(0))
+    around = lambda m: F.trim(F.regexp_replace(F.substring(text, low(m) + 1, m["end"] + AROUND - low(m)), r"(?U)\s+", " "))
+    return F.when(text.rlike(pattern), F.transform(matches(text, pattern), around)).otherwise(F.expr("CAST(array() AS array<string>)"))
+
+
+def _identifier(found: Column) -> Column:
+    """Without the punctuation after it."""
+    return F.regexp_replace(F.trim(found), "[.,;)]+$", "")
+
+
 def artifacts(text: Column, subtype: str) -> Column:
-    """Identifiers of a kind, without the punctuation after them."""
-    return F.transform(_all(text, ARTIFACTS[subtype]), lambda v: F.regexp_replace(F.trim(v), "[.,;)]+$", ""))
+    """Identifiers of a kind."""
+    return F.transform(_all(text, ARTIFACTS[subtype]), _identifier)
 
 
 def assertions(text: Column) -> Column:
@@ -135,69 +149,65 @@ def experience_years(raw: Column) -> Column:
     return F.coalesce(F.when(said.rlike("^[0-9]+$"), F.try_to_number(said, F.lit("9999")).cast("int")), F.try_element_at(words, said))
 
 
-def _blanked(text: Column, pattern: str, group: int = 0) -> Column:
-    """The text with what matches turned into as many blanks; group 1: only that, which is where a match begins."""
-    found = _all(text, pattern, 0)
-    lost = F.transform(_all(text, pattern, group), lambda x: F.length(x))
-    filled = F.transform(F.arrays_zip(found.alias("m"), lost.alias("n")), lambda x: F.concat(F.repeat(F.lit(" "), x["n"]), F.substring(x["m"], x["n"] + 1, F.length(x["m"]))))
-    joined = F.array_join(F.flatten(F.transform(F.arrays_zip(F.split(text, pattern, -1).alias("a"), filled.alias("b")), lambda x: F.array(x["a"], F.coalesce(x["b"], F.lit(""))))), "")
-    return F.when(text.rlike(pattern), joined).otherwise(text)
+def _spans(text: Column, pattern: str, group: int = 0) -> Column:
+    """start and length of each match; group 1: of that, which is where a match begins."""
+    size = lambda m: F.length(m["match"]) if group else m["end"] - m["start"]
+    found = F.transform(matches(text, pattern, group), lambda m: F.struct(m["start"].alias("start"), size(m).alias("size")))
+    return F.when(text.rlike(pattern), found).otherwise(F.expr("CAST(array() AS array<struct<start:int,size:int>>)"))
 
 
-_MASKS = [(p, 0) for p in ARTIFACTS.values()] + [(TRACTION, 1), (QUANTITY, 0)]
+def masked(text: Column) -> Column:
+    """The text with identifiers, amounts and measures blanked, so that their digits aren't read as years.
 
-
-def with_masked(rows: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds the text with identifiers, amounts and measures blanked, so that their digits aren't read as years.
-
-    Each mask is a column over the one before: written as one expression they would repeat it many times over.
+    All are looked for in the text as it is; what any of them covers is blanked.
     """
-    steps = [text, *(f"{name}{k}" for k in range(len(_MASKS)))]
-    for k, (pattern, group) in enumerate(_MASKS):
-        rows = rows.withColumn(steps[k + 1], _blanked(F.col(steps[k]), pattern, group))
-    return rows.withColumnRenamed(steps[-1], name).drop(*steps[1:-1])
+    spans = F.concat(*(_spans(text, p) for p in ARTIFACTS.values()), _spans(text, TRACTION, 1), _spans(text, QUANTITY))
+    blank = lambda acc, x: F.overlay(acc, F.repeat(F.lit(" "), x["size"]), x["start"] + 1, x["size"])
+    return F.aggregate(spans, text, blank)
 
 
 def years(clean: Column) -> Column:
-    """array<struct<value, target>> of a masked text; target: stated as a goal."""
+    """array<struct<value, target, start, end>> of a masked text; target: stated as a goal."""
 
     def one(m: Column) -> Column:
         before = F.substring(clean, F.greatest(m["start"] - 60, F.lit(0)) + 1, F.least(m["start"], F.lit(60)))
-        return F.struct(m["match"].alias("value"), before.rlike(FORWARD).alias("target"))
+        return F.struct(m["match"].alias("value"), before.rlike(FORWARD).alias("target"), m["start"].alias("start"), m["end"].alias("end"))
 
     return F.transform(matches(clean, YEAR), one)
 
 
 def _distinct(claims: Column) -> Column:
+    """The first of claims that say the same, in order: a stable sort by what they say, of which each first stays."""
     key = lambda c: F.concat_ws("\0", c["kind"], c["subtype"], F.lower(c["value"]))
-    keys = F.transform(claims, key)
-    return F.filter(claims, lambda c, i: F.array_position(keys, key(c)) == i + 1)
+    said = F.array_sort(F.transform(claims, lambda c, i: F.struct(key(c).alias("key"), i.alias("at"))))
+    first = F.filter(said, lambda x, i: (i == 0) | (F.get(said, i - 1)["key"] != x["key"]))
+    places = F.array_sort(F.transform(first, lambda x: x["at"]))
+    return F.when(F.size(places) == F.size(claims), claims).otherwise(F.transform(places, lambda i: F.get(claims, i)))
 
 
 def with_claims(subjects: DataFrame) -> DataFrame:
-    """Adds `claims` to rows with a text (null: none): array of kind, subtype, value, negated, first of equal ones only."""
+    """Adds `claims` to rows with a text (null: none): array of kind, subtype, value, context, negated, first of equal ones only."""
     text = F.col("_text")
     rows = subjects.withColumn("_text", F.coalesce("text", F.lit("")))
-    rows = with_masked(rows, "_text", "_masked").withColumns({"_degrees": degrees(text), "_places": institutions(text), "_traction": traction(text)})
-    rows = rows.withColumn("_years", years(F.col("_masked")))
+    rows = rows.withColumns({"_masked": masked(text), "_degrees": degrees(text), "_places": institutions(text), "_traction": traction(text)})
+    zipped = lambda values, pattern: F.arrays_zip(values.alias("v"), _contexts(text, pattern).alias("ctx"))
+    said = lambda kind, subtype, values, pattern: F.transform(zipped(values, pattern), lambda x: _claim(kind, subtype, x["v"], x["ctx"]))
+    parts = [said("artifact", s, artifacts(text, s), ARTIFACTS[s]) for s in ARTIFACTS]
+    parts += [F.when(text.rlike(p), F.array(_claim("artifact", "assertion", F.lit(s), F.get(_contexts(text, p), F.lit(0))))).otherwise(F.expr(f"CAST(array() AS {CLAIM})")) for s, p in ASSERTIONS.items()]
     tied = F.transform("_degrees", lambda d: d["inst"])
-    parts = [_typed("artifact", s, artifacts(text, s)) for s in ARTIFACTS]
-    parts.append(_typed("artifact", "assertion", assertions(text)))
-    both = lambda d: F.array(_claim("degree", "degree", d["value"]), _claim("degree", "degree_institution", d["inst"]))
-    parts.append(F.filter(F.flatten(F.transform("_degrees", both)), lambda c: c["value"] != ""))
-    parts.append(_typed("degree", "mentioned_institution", F.filter("_places", lambda v: ~F.array_contains(tied, v))))
-    parts.append(_typed("role", "leadership", leadership(text)))
-    parts.append(_typed("role", "owned_org", owned(text)))
-    parts.append(_typed("partnership", "partner_org", partners(text)))
-    parts.append(F.transform(F.col("_traction"), lambda x: _claim("traction", x["noun"], x["value"], x["negated"])))
-    parts.append(_typed("timeline", "claimed_experience_years", experience(text)))
-    parts.append(F.transform(F.col("_years"), lambda y: _claim("timeline", F.when(y["target"], "year_target").otherwise("year"), y["value"])))
+    both = lambda x: F.array(_claim("degree", "degree", x["v"]["value"], x["ctx"]), _claim("degree", "degree_institution", x["v"]["inst"], x["ctx"]))
+    parts.append(F.filter(F.flatten(F.transform(zipped(F.col("_degrees"), DEGREE), both)), lambda c: c["value"] != ""))
+    parts.append(F.filter(said("degree", "mentioned_institution", F.col("_places"), INSTITUTION), lambda c: ~F.array_contains(tied, c["value"])))
+    parts.append(said("role", "leadership", leadership(text), LEADERSHIP))
+    parts.append(said("role", "owned_org", owned(text), OWNED))
+    parts.append(said("partnership", "partner_org", partners(text), PARTNER))
+    parts.append(F.transform(zipped(F.col("_traction"), TRACTION), lambda x: _claim("traction", x["v"]["noun"], x["v"]["value"], x["ctx"], x["v"]["negated"])))
+    parts.append(said("timeline", "claimed_experience_years", experience(text), EXPERIENCE))
+    low = lambda y: F.greatest(y["start"] - AROUND, F.lit(0))
+    near = lambda y: F.trim(F.regexp_replace(F.substring(text, low(y) + 1, y["end"] + AROUND - low(y)), r"(?U)\s+", " "))
+    parts.append(F.transform(years(F.col("_masked")), lambda y: _claim("timeline", F.when(y["target"], "year_target").otherwise("year"), y["value"], near(y))))
     rows = rows.withColumn("_all", F.concat(*(p.cast(CLAIM) for p in parts)))
-    return rows.withColumn("claims", _distinct(F.col("_all"))).drop("_text", "_degrees", "_masked", "_places", "_traction", "_years", "_all")
-
-
-def _typed(kind: str, subtype: str, values: Column) -> Column:
-    return F.transform(values, lambda v: _claim(kind, subtype, v))
+    return rows.withColumn("claims", _distinct(F.col("_all"))).drop("_text", "_degrees", "_masked", "_places", "_traction", "_all")
 
 
 def claims_by(claims: Column, kind: str | None = None, *subtypes: str) -> Column:

@@ -74,7 +74,7 @@ def with_features(subjects: DataFrame, banks: dict[str, list[str]] | None = None
     if "claims" not in rows.columns:
         rows = cl.with_claims(rows)
     if "status" not in rows.schema["claims"].dataType.elementType.names:
-        rows = rows.withColumn("claims", F.transform("claims", lambda c: c.withField("status", F.lit("UNCHECKED"))))
+        rows = rows.withColumn("claims", F.transform("claims", lambda c: c.withField("status", F.lit("UNCHECKED")).withField("detail", F.lit("")).withField("source", F.lit(""))))
     rows = dm.with_domains(rows)
     text = F.col("text")
     asserted = ("vague_partnership", "concrete_partnership", "building_claims", "traction", "funding_ask", "deep_collab", "external_validation", "press_outlets")
@@ -175,11 +175,37 @@ def _evidence() -> dict[int, Column]:
     return {i: F.slice(x, 1, 4) for i, x in out.items()}
 
 
+#: For each flag what it asks, and what its three answers say; {} stands for the evidence.
+WORDING = {
+    1: ("Does the training fit the domain that is claimed?", "The claimed domain and the training named are far apart: {}.", "Nothing speaks against the training behind the claimed domain.", "No domain is claimed, or no training is named to hold against it."),
+    2: ("Do earlier roles support the title held?", "The title is not backed by any role in the claimed domain: {}.", "Earlier roles fit the title, or the domain is open to all.", "There is no title with a domain, or no earlier role."),
+    3: ("Are the partners the subject's own organisations?", "Organisations that the subject leads are named as partners: {}.", "Partners and own organisations are different ones.", "Partners or own organisations are missing."),
+    4: ("Does the language promise more than it says?", "Many big words for so short a text: {}.", "The language is sober enough.", "The text is too short to weigh its big words."),
+    5: ("Are there firm agreements, or only intentions?", "The deals named bind nobody: {}.", "Firm agreements are named, or no pattern of mere intentions.", "No deals are named."),
+    6: ("Is there any work that can be looked up?", "Work is announced, but nothing of it can be looked up: {}.", "There is work that can be looked up: {}.", "No work is announced that could be looked up."),
+    7: ("Is money sought without any figure of use?", "Money is sought and no customer, user or income is named: {}.", "Money is sought and use or income is named: {}.", "No money is sought."),
+    8: ("Is each degree tied to a school that can be found?", "The register of research organisations lists no such school (small ones may be missing): {}.", "The degree is tied to a named school: {}.", "No degree is named, or none with its school."),
+    9: ("Are many partners named without any joint work?", "Several partners and no sign of joint work: {}.", "There is joint work, or there are few partners.", "No partners are named."),
+    10: ("Has anybody independent written about the subject?", "No voice but the subject's own was found: {}.", "Somebody independent is named: {}.", "Too little is said, or nobody could be asked."),
+    11: ("Does a register contradict a claim?", "A register doesn't have an identifier, or has it for somebody else: {}.", "Registers confirm the identifiers: {}.", "No identifier was checked against a register, or none could be."),
+    12: ("Do the dates and durations fit one life?", "The dates and durations can't all be true: {}.", "The dates and durations fit.", "Too few dates and durations are given."),
+    13: ("Is a doctor's title used without a doctorate?", "The title is used and no degree named is a doctorate: {}.", "The title is backed by a doctorate.", "The title isn't used for the subject, or no degree is named."),
+}
+
+
+def _description(flag: int, status: Column, evidence: Column) -> Column:
+    listed = F.when(F.size(evidence) > 0, F.array_join(evidence, ", ")).otherwise("nothing is named")
+    texts = {name: F.lit(text) if "{}" not in text else F.concat(F.lit(text.split("{}")[0]), listed, F.lit(text.split("{}")[1])) for name, text in zip((TRIGGERED, PASSED, UNKNOWN), WORDING[flag][1:], strict=True)}
+    return F.coalesce(*(F.when(status == name, text) for name, text in texts.items()))
+
+
 def with_flags(features: DataFrame, now_year: int) -> DataFrame:
-    """Adds `flags`: array of id, status, evidence in order of id."""
+    """Adds `flags`: array of id, status, description, evidence in order of id."""
     status, evidence = flag_statuses(now_year), _evidence()
-    each = [F.struct(F.lit(i).alias("id"), status[i].alias("status"), evidence[i].alias("evidence")) for i, *_ in FLAGS]
-    return features.withColumn("flags", F.array(*each))
+    rows = features.withColumn("_status", F.array(*(status[i] for i, *_ in FLAGS))).withColumn("_evidence", F.array(*(evidence[i] for i, *_ in FLAGS)))
+    at = lambda name, i: F.get(F.col(name), F.lit(i - 1))
+    each = [F.struct(F.lit(i).alias("id"), at("_status", i).alias("status"), _description(i, at("_status", i), at("_evidence", i)).alias("description"), at("_evidence", i).alias("evidence")) for i, *_ in FLAGS]
+    return rows.withColumn("flags", F.array(*each)).drop("_status", "_evidence")
 
 
 def flag_table(audited: DataFrame, *keep: str) -> DataFrame:

@@ -98,6 +98,11 @@ def org_tokens_of(name: pd.Series) -> pd.Series:
     return name.map(lambda x: sorted(org_tokens(x)))
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def org_tokens_of_all(names: pd.Series) -> pd.Series:
+    return names.map(lambda xs: [sorted(org_tokens(x)) for x in xs], na_action="ignore")
+
+
 def name_initials(folded: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(folded, F.lit(r"(?U)\w+"), F.lit(0)), lambda w: F.substring(w, 1, 1))))
 

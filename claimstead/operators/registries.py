@@ -6,16 +6,23 @@ other status but 200 means that the registry could not be asked, and is never ev
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimstead.functions.text import unescaped_all
-from claimstead.operators.names import name_matches, org_tokens_of
+from claimstead.operators.names import name_matches, org_tokens_of, org_tokens_of_all
 
 VERIFIED, MISMATCH, NOT_FOUND, UNCHECKABLE, UNCHECKED = "VERIFIED", "MISMATCH", "NOT_FOUND", "UNCHECKABLE", "UNCHECKED"
 #: Subtypes with a registry; a degree's institution is looked up under `ror`.
 CHECKED = ["doi", "orcid", "github", "arxiv", "nct", "patent", "degree_institution"]
 
+# Where each kind of identifier is looked up; {} stands for it.
+SOURCES = {
+    "doi": "https://api.crossref.org/works/{}", "orcid": "https://pub.orcid.org/v3.0/{}/person", "github": "https://api.github.com/{}", "arxiv": "https://export.arxiv.org/api/query?id_list={}",
+    "nct": "https://clinicaltrials.gov/api/v2/studies/{}", "patent": "https://patents.google.com/patent/{}/en", "degree_institution": "https://api.ror.org/v2/organizations?query={}",
+}
+UNREACHED = "the registry could not be asked"
+
 _PERSON = "struct<given:string, family:string>"
 _SCHEMAS = {
     "doi": f"message struct<title:array<string>, author:array<{_PERSON}>>",
@@ -58,8 +65,19 @@ def _candidates(subtype: str, body: Column, value: Column) -> tuple[Column, Colu
     return F.lit(True), (title == "") | F.contains(F.lower(title), F.lit("not found")), inventors
 
 
+def source_of(subtype: Column, value: Column) -> Column:
+    """The address a claim is looked up at; null for those without a registry."""
+    slash = F.contains(F.btrim(value, F.lit("/")), F.lit("/"))
+    asked = {
+        "github": F.concat(F.when(slash, "repos/").otherwise("users/"), value), "patent": F.regexp_replace(value, r"\s", ""),
+        "degree_institution": F.replace(F.url_encode(value), F.lit("+"), F.lit("%20")),
+    }
+    parts = {k: x.split("{}") for k, x in SOURCES.items()}
+    return F.coalesce(*(F.when(subtype == k, F.concat(F.lit(a), asked.get(k, value), F.lit(b))) for k, (a, b) in parts.items()))
+
+
 def verify_identifiers(claims: DataFrame, responses: DataFrame) -> DataFrame:
-    """claims (subject_name, subtype, value and others) of the six identifier kinds -> the same with status."""
+    """claims (subject_name, subtype, value and others) of the six identifier kinds -> the same with status, detail and source."""
     kinds = CHECKED[:-1]
     r = responses.select(F.col("registry").alias("subtype"), F.col("key").alias("value"), "http_status", "body")
     rows = claims.where(F.col("subtype").isin(*kinds)).join(r, ["subtype", "value"], "left")
@@ -80,39 +98,58 @@ def verify_identifiers(claims: DataFrame, responses: DataFrame) -> DataFrame:
         .when(F.col("_match"), VERIFIED)
         .otherwise(MISMATCH)
     )
-    return rows.withColumn("status", status).drop("http_status", "body", "_read", "_nothing", "_names", "_match")
+    some = F.size("_names") > 0
+    listed = F.array_join(F.slice("_names", 1, 4), ", ")
+    said = (
+        F.when(F.col("status") == NOT_FOUND, "the registry has no such record")
+        .when(F.col("status") == VERIFIED, F.when(some, F.concat(F.lit("the record names "), listed)).otherwise("the record exists"))
+        .when(F.col("status") == MISMATCH, F.concat(F.lit("the record names "), listed, F.lit(" and not the subject")))
+        .when(~F.coalesce(F.col("_read"), F.lit(False)), UNREACHED)
+        .otherwise("the record exists, but names nobody who could be compared with the subject")
+    )
+    rows = rows.withColumn("status", status).withColumns({"detail": said, "source": source_of(F.col("subtype"), F.col("value"))})
+    return rows.drop("http_status", "body", "_read", "_nothing", "_names", "_match")
 
 
 def verify_institutions(claims: DataFrame, responses: DataFrame) -> DataFrame:
-    """claims with subtype degree_institution -> the same with status and nearest: every telling word has to be in one listed name."""
-    key = ["subject_id", "ord"]
+    """claims with subtype degree_institution -> the same with status, detail and source: every telling word has to be in one listed name.
+
+    Of the names listed, a hit comes first, then the one with the largest share of common words, then the first.
+    """
     wanted = claims.where("subtype = 'degree_institution'").withColumn("wanted", org_tokens_of("value"))
     r = responses.where("registry = 'ror'").select(F.col("key").alias("value"), "http_status", "body")
-    rows = wanted.join(r, "value", "left")
     items = F.slice(F.from_json("body", "items array<struct<id:string, names:array<struct<value:string>>>>")["items"], 1, 25)
-    rows = rows.withColumn("items", items)
-    each = rows.select(*key, "wanted", F.posexplode("items").alias("i", "item")).select(*key, "wanted", "i", F.posexplode("item.names.value").alias("j", "name"))
-    each = each.withColumn("have", org_tokens_of("name")).where(F.size("have") > 0)
-    hit = (F.size("wanted") > 0) & (F.size(F.array_except("wanted", "have")) == 0)
-    near = F.size(F.array_intersect("wanted", "have")) / F.size(F.array_union("wanted", "have"))
-    each = each.withColumns({"hit": hit, "near": near})
-    best = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("hit"), F.when(F.col("hit"), F.lit(0)).otherwise(-F.col("near")), "i", "j"))
-    best = each.withColumn("at", best).where("at = 1").select(*key, "hit", F.col("name").alias("nearest"))
-    rows = rows.join(best, key, "left")
+    rows = wanted.join(r, "value", "left").withColumn("listed", F.flatten(F.transform(items, lambda x: x["names"]["value"])))
+    rows = rows.withColumn("pairs", F.arrays_zip(F.col("listed").alias("name"), org_tokens_of_all("listed").alias("have")))
+
+    def judged(x: Column, i: Column) -> Column:
+        hit = (F.size("wanted") > 0) & (F.size(F.array_except("wanted", x["have"])) == 0)
+        near = F.size(F.array_intersect("wanted", x["have"])) / F.size(F.array_union("wanted", x["have"]))
+        return F.struct(F.when(hit, 0).otherwise(1).alias("miss"), F.when(hit, F.lit(0.0)).otherwise(-near).alias("less"), i.alias("i"), x["name"].alias("name"))
+
+    best = F.get(F.array_sort(F.transform(F.filter("pairs", lambda x: F.size(x["have"]) > 0), judged)), F.lit(0))
+    rows = rows.withColumn("best", best)
     status = (
         F.when(F.col("http_status").isin(404, 410), NOT_FOUND)
         .when(F.coalesce(F.col("http_status"), F.lit(0)) != 200, UNCHECKABLE)
         .when(F.get_json_object("body", "$").isNull(), UNCHECKABLE)
-        .when(F.col("hit"), VERIFIED)
+        .when(F.col("best.miss") == 0, VERIFIED)
         .otherwise(NOT_FOUND)
     )
-    return rows.withColumn("status", status).drop("wanted", "http_status", "body", "items", "hit")
+    said = (
+        F.when(F.col("status") == UNCHECKABLE, UNREACHED)
+        .when(F.col("status") == VERIFIED, F.concat(F.lit("listed as "), F.col("best.name")))
+        .when(F.col("best").isNotNull(), F.concat(F.lit("not listed; the nearest name is "), F.col("best.name")))
+        .otherwise("not listed")
+    )
+    rows = rows.withColumn("status", status).withColumns({"detail": said, "source": source_of(F.col("subtype"), F.col("value"))})
+    return rows.drop("wanted", "http_status", "body", "listed", "pairs", "best")
 
 
 def verify_all(claims: DataFrame, responses: DataFrame) -> DataFrame:
     """Every claim with its status; those without a registry stay unchecked."""
-    known = verify_identifiers(claims, responses).unionByName(verify_institutions(claims, responses).drop("nearest"))
-    rest = claims.where(~F.col("subtype").isin(*CHECKED)).withColumn("status", F.lit(UNCHECKED))
+    known = verify_identifiers(claims, responses).unionByName(verify_institutions(claims, responses))
+    rest = claims.where(~F.col("subtype").isin(*CHECKED)).withColumns({"status": F.lit(UNCHECKED), "detail": F.lit(""), "source": F.lit("")})
     return known.unionByName(rest)
 
 

@@ -18,11 +18,12 @@ def with_statuses(subjects: DataFrame, responses: DataFrame) -> DataFrame:
     Only claims that have a registry leave the row: they are looked up and come back by subject and place.
     """
     asked = cl.exploded(subjects.where("verified"), "subject_id", "subject_name").where(F.col("subtype").isin(*rg.CHECKED))
-    found = rg.verify_identifiers(asked, responses).unionByName(rg.verify_institutions(asked, responses).drop("nearest"))
-    found = found.groupBy("subject_id").agg(F.map_from_entries(F.collect_list(F.struct("ord", "status"))).alias("_found"))
+    found = rg.verify_identifiers(asked, responses).unionByName(rg.verify_institutions(asked, responses))
+    found = found.groupBy("subject_id").agg(F.map_from_entries(F.collect_list(F.struct("ord", F.struct("status", "detail", "source")))).alias("_found"))
     rows = subjects.join(found, "subject_id", "left")
-    status = lambda i: F.coalesce(F.try_element_at(F.col("_found"), i), F.lit(rg.UNCHECKED))
-    return rows.withColumn("claims", F.transform("claims", lambda c, i: c.withField("status", status(i)))).drop("_found")
+    of = lambda i, field, none: F.coalesce(F.try_element_at(F.col("_found"), i)[field], F.lit(none))
+    marked = lambda c, i: c.withField("status", of(i, "status", rg.UNCHECKED)).withField("detail", of(i, "detail", "")).withField("source", of(i, "source", ""))
+    return rows.withColumn("claims", F.transform("claims", marked)).drop("_found")
 
 
 def audit(subjects: DataFrame, now_year: int, responses: DataFrame | None = None, banks: dict | None = None) -> DataFrame:

@@ -149,7 +149,7 @@ on_subjects("ext_experience_years", None, lambda s: s.select("subject_id", F.exp
 on_subjects("experience_years", None, lambda s: s.select("subject_id", F.explode(cl.experience(_text())).alias("v")).select("subject_id", cl.experience_years(F.col("v")).alias("years")))
 on_subjects("ext_year", None, lambda s: _claims_of(s, "year"))
 on_subjects("ext_year_target", None, lambda s: _claims_of(s, "year_target"))
-on_subjects("mask_non_dates", None, lambda s: cl.with_masked(s, "text", "masked").select("subject_id", "masked"))
+on_subjects("mask_non_dates", None, lambda s: s.select("subject_id", cl.masked(_text()).alias("masked")))
 on_subjects("claims_by", None, lambda s: cl.exploded(cl.with_claims(s), "subject_id").groupBy("kind", "subtype").agg(F.count("*").alias("n")))
 on_subjects("norm_org", None, lambda s: s.select("subject_id", F.explode(F.concat(cl.owned(_text()), cl.partners(_text()))).alias("org")).select("subject_id", tx.norm_org(F.col("org")).alias("org")))
 on_subjects("owned_partner_overlap", None, lambda s: cl.with_claims(s).select("subject_id", F.explode_outer(cl.overlap(F.col("claims"))).alias("org")).where("org is not null"))
