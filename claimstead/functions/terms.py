@@ -1,12 +1,13 @@
 """Whole-word term matching as column expressions.
 
-Regular expressions are literals, so each is compiled once a task; a bank is asked with one fused
-expression first, and only texts with some term of it are asked for each. Offsets, and with them negation,
-are worked out for the terms that are there, not for all.
+A text is cut into words once, and runs of its words are intersected with all terms asked for, so the work
+doesn't grow with the number of terms. Offsets, and with them negation, are worked out for the terms that are
+there, not for all.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
@@ -81,31 +82,73 @@ def negated(text: Column, start: Column) -> Column:
 
 
 _NONE = "CAST(array() AS array<string>)"
+_WORD = r"\w+|[^\w\s\-]"
+
+
+def _gram(term: str) -> str:
+    return " ".join(re.findall(_WORD, term.lower()))
+
+
+def _plain(term: str) -> bool:
+    """Words alone: then a term is where its words follow each other with only blanks or hyphens between."""
+    return bool(_gram(term)) and not re.search(r"[^\w\s\-]", term)
+
+
+def _literal(values: list) -> Column:
+    kind = "array<string>" if not values or isinstance(values[0], str) else "array<struct<key:string,term:string,gram:string>>"
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def _grams(text: Column, most: int) -> Column:
+    """All runs of up to `most` words of a text, folded; a mark between words parts them."""
+
+    def of_words(words: Column) -> Column:
+        runs = lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+        return F.concat(words, *(F.when(F.size(words) >= n, runs(n)).otherwise(F.expr(_NONE)) for n in range(2, most + 1)))
+
+    return _bound(F.regexp_extract_all(F.lower(text), F.lit("(?U)" + _WORD), F.lit(0)), of_words)
+
+
+def _present(text: Column, banks: dict[str, list[str]]) -> Column:
+    """array<struct<key, term>> of the terms there are, in order: one pass over the text, whatever the number of terms.
+
+    Terms with marks in them are asked for one by one.
+    """
+    rows = [{"key": k, "term": t, "gram": _gram(t)} for k, terms in banks.items() for t in terms if _plain(t)]
+    odd = [(k, t) for k, terms in banks.items() for t in terms if not _plain(t)]
+    out = F.expr(_HITS)
+    if rows:
+        grams = sorted({r["gram"] for r in rows})
+        found = F.array_intersect(_literal(grams), _grams(text, max(g.count(" ") + 1 for g in grams)))
+        pick = lambda hit: F.transform(F.filter(_literal(rows), lambda x: F.array_contains(hit, x["gram"])), lambda x: F.struct(x["key"].alias("key"), x["term"].alias("term")))
+        out = _bound(found, lambda hit: F.when(F.size(hit) > 0, pick(hit)).otherwise(F.expr(_HITS)))
+    if odd:
+        out = F.concat(out, F.array_compact(F.array(*(F.when(text.rlike(pattern_of(t)), F.struct(F.lit(k).alias("key"), F.lit(t).alias("term"))) for k, t in odd))))
+    return out
 
 
 def find_terms(text: Column, terms: list[str], asserted: bool = False) -> Column:
     """The terms there are in the text, in the bank's order; asserted: with an occurrence that isn't denied."""
     if not terms:
         return F.expr(_NONE)
-    present = F.array_compact(F.array(*(F.when(text.rlike(pattern_of(t)), F.lit(t)) for t in terms)))
-    if asserted:
-        # the patterns are rebuilt from the few terms found
-        present = F.filter(present, lambda t: F.exists(matches(text, _pattern_column(t)), lambda m: ~negated(text, m["start"])))
-    return F.when(text.rlike(any_of(terms)), present).otherwise(F.expr(_NONE))
+    order = {t: i for i, t in enumerate(terms)}
+    hits = (find_many if asserted else _present)(text, {"": terms})
+    found = F.transform(hits, lambda x: x["term"])
+    if all(map(_plain, terms)) or not any(map(_plain, terms)):
+        return found
+    at = F.create_map(*(F.lit(x) for pair in order.items() for x in pair))
+    return F.transform(F.array_sort(F.transform(found, lambda t: F.struct(at[t].alias("at"), t.alias("t")))), lambda x: x["t"])
 
 
 _HITS = "CAST(array() AS array<struct<key:string,term:string>>)"
 
 
 def find_many(text: Column, banks: dict[str, list[str]]) -> Column:
-    """array<struct<key, term>>: the asserted terms of several banks. One array, so that denial is written once for all."""
-    parts = []
-    for key, terms in banks.items():
-        if terms:
-            each = F.array(*(F.when(text.rlike(pattern_of(t)), F.struct(F.lit(key).alias("key"), F.lit(t).alias("term"))) for t in terms))
-            parts.append(F.when(text.rlike(any_of(terms)), F.array_compact(each)).otherwise(F.expr(_HITS)))
-    found = F.concat(*parts) if parts else F.expr(_HITS)
-    return F.filter(found, lambda x: F.exists(matches(text, _pattern_column(x["term"])), lambda m: ~negated(text, m["start"])))
+    """array<struct<key, term>>: the asserted terms of several banks. One array, so that denial is written once for all.
+
+    Only for terms that are there a pattern is made, to find where.
+    """
+    return F.filter(_present(text, banks), lambda x: F.exists(matches(text, _pattern_column(x["term"])), lambda m: ~negated(text, m["start"])))
 
 
 def terms_of(hits: Column, key: str) -> Column:
