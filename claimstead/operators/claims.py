@@ -44,7 +44,7 @@ LEADERSHIP = r"(?U)\b(CEO|CTO|President|Founder|Co-founder|Chairman|Managing Dir
 OWNED = r"(?U)(?iu:founder|co-founder|founded|president|created|established|my company|chairman|owner|ceo|cto)\s+(?iu:(?:and\s+\w+\s+)?(?:of|at|@))\s+" + _CAPS
 PARTNER = r"(?U)(?iu:partner(?:ship|ed|s)?|collaborat\w+|mou|alliance|consortium|agreement|teamed\s+up)\s+(?iu:with|between)\s+(?!(?:Dr|Mr|Mrs|Ms|Prof|Sir|Dame|Rev|The)\b)" + _CAPS
 TRACTION = r"(?iU)([€$£]?\s?\d[\d,.]{0,24}\s?(?:k|m|bn|million|billion)?)\s*(customers|clients|users|subscribers|revenue|arr|mrr|employees|units|installations)"
-QUANTITY = r"(?iU)\b\d[\d,.]{0,24}\s?(?:MHz|GHz|kHz|km|kg|nm|mm|hours?|days?|%)\b"
+QUANTITY = r"(?iU)\b(\d[\d,.]{0,24}\s?(?:MHz|GHz|kHz|km|kg|nm|mm|hours?|days?|%))\b"
 NUMBER_WORDS = {
     "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13,
     "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19, "twenty": 20, "twenty-five": 25, "thirty": 30, "forty": 40, "fifty": 50,
@@ -77,11 +77,15 @@ def _all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def _contexts(text: Column, pattern: str) -> Column:
-    """What surrounds each match, with white space collapsed: in the order of _all()."""
-    low = lambda m: F.greatest(m["start"] - AROUND, F.lit(0))
-    around = lambda m: F.trim(F.regexp_replace(F.substring(text, low(m) + 1, m["end"] + AROUND - low(m)), r"(?U)\s+", " "))
-    return F.when(text.rlike(pattern), F.transform(matches(text, pattern), around)).otherwise(F.expr("CAST(array() AS array<string>)"))
+def _found(text: Column, pattern: str) -> Column:
+    """Start, end and first group of each match; texts without any aren't cut up."""
+    return F.when(text.rlike(pattern), matches(text, pattern, 1)).otherwise(F.expr("CAST(array() AS array<struct<start:int,end:int,match:string>>)"))
+
+
+def _around(text: Column, m: Column) -> Column:
+    """What surrounds a match, with white space collapsed."""
+    low = F.greatest(m["start"] - AROUND, F.lit(0))
+    return F.trim(F.regexp_replace(F.substring(text, low + 1, m["end"] + AROUND - low), r"(?U)\s+", " "))
 
 
 def _identifier(found: Column) -> Column:
@@ -126,14 +130,17 @@ def partners(text: Column) -> Column:
     return _all(text, PARTNER)
 
 
+def _nothing(text: Column, m: Column) -> Column:
+    """Whether a figure is zero or denied."""
+    return F.trim(m["match"]).rlike(r"^[€$£]?\s?0+([.,]0+)?$") | negated(text, m["start"])
+
+
 def traction(text: Column) -> Column:
     """array<struct<value, noun, negated>>; none or zero of something is denied."""
     found = F.arrays_zip(matches(text, TRACTION, 1).alias("m"), _all(text, TRACTION, 2).alias("noun"))
 
     def one(x: Column) -> Column:
-        amount = F.trim(x["m"]["match"])
-        denied = amount.rlike(r"^[€$£]?\s?0+([.,]0+)?$") | negated(text, x["m"]["start"])
-        return F.struct(F.concat(amount, F.lit(" "), x["noun"]).alias("value"), F.lower(x["noun"]).alias("noun"), denied.alias("negated"))
+        return F.struct(F.concat(F.trim(x["m"]["match"]), F.lit(" "), x["noun"]).alias("value"), F.lower(x["noun"]).alias("noun"), _nothing(text, x["m"]).alias("negated"))
 
     return F.when(text.rlike(TRACTION), F.transform(found, one)).otherwise(F.expr("CAST(array() AS array<struct<value:string,noun:string,negated:boolean>>)"))
 
@@ -149,11 +156,12 @@ def experience_years(raw: Column) -> Column:
     return F.coalesce(F.when(said.rlike("^[0-9]+$"), F.try_to_number(said, F.lit("9999")).cast("int")), F.try_element_at(words, said))
 
 
-def _spans(text: Column, pattern: str, group: int = 0) -> Column:
-    """start and length of each match; group 1: of that, which is where a match begins."""
-    size = lambda m: F.length(m["match"]) if group else m["end"] - m["start"]
-    found = F.transform(matches(text, pattern, group), lambda m: F.struct(m["start"].alias("start"), size(m).alias("size")))
-    return F.when(text.rlike(pattern), found).otherwise(F.expr("CAST(array() AS array<struct<start:int,size:int>>)"))
+def _blanked(text: Column, identifiers: list[Column], amounts: Column, measures: Column) -> Column:
+    """All of a text that matches cover turned into blanks; of amounts the first group, which is where they begin."""
+    whole = lambda m: F.struct(m["start"].alias("start"), (m["end"] - m["start"]).alias("size"))
+    first = lambda m: F.struct(m["start"].alias("start"), F.length(m["match"]).alias("size"))
+    spans = F.concat(F.transform(F.concat(*identifiers, measures), whole), F.transform(amounts, first))
+    return F.aggregate(spans, text, lambda acc, x: F.overlay(acc, F.repeat(F.lit(" "), x["size"]), x["start"] + 1, x["size"]))
 
 
 def masked(text: Column) -> Column:
@@ -161,9 +169,7 @@ def masked(text: Column) -> Column:
 
     All are looked for in the text as it is; what any of them covers is blanked.
     """
-    spans = F.concat(*(_spans(text, p) for p in ARTIFACTS.values()), _spans(text, TRACTION, 1), _spans(text, QUANTITY))
-    blank = lambda acc, x: F.overlay(acc, F.repeat(F.lit(" "), x["size"]), x["start"] + 1, x["size"])
-    return F.aggregate(spans, text, blank)
+    return _blanked(text, [_found(text, p) for p in ARTIFACTS.values()], _found(text, TRACTION), _found(text, QUANTITY))
 
 
 def years(clean: Column) -> Column:
@@ -185,29 +191,41 @@ def _distinct(claims: Column) -> Column:
     return F.when(F.size(places) == F.size(claims), claims).otherwise(F.transform(places, lambda i: F.get(claims, i)))
 
 
+_ONCE = {"institution": INSTITUTION, "leadership": LEADERSHIP, "owned_org": OWNED, "partner_org": PARTNER, "traction": TRACTION, "quantity": QUANTITY, "experience": EXPERIENCE, "degree": DEGREE}
+
+
 def with_claims(subjects: DataFrame) -> DataFrame:
-    """Adds `claims` to rows with a text (null: none): array of kind, subtype, value, context, negated, first of equal ones only."""
+    """Adds `claims` to rows with a text (null: none): array of kind, subtype, value, context, negated, first of equal ones only.
+
+    Every pattern is looked for once; values, contexts and what is no date all come from its matches.
+    """
     text = F.col("_text")
     rows = subjects.withColumn("_text", F.coalesce("text", F.lit("")))
-    rows = rows.withColumns({"_masked": masked(text), "_degrees": degrees(text), "_places": institutions(text), "_traction": traction(text)})
-    zipped = lambda values, pattern: F.arrays_zip(values.alias("v"), _contexts(text, pattern).alias("ctx"))
-    said = lambda kind, subtype, values, pattern: F.transform(zipped(values, pattern), lambda x: _claim(kind, subtype, x["v"], x["ctx"]))
-    parts = [said("artifact", s, artifacts(text, s), ARTIFACTS[s]) for s in ARTIFACTS]
-    parts += [F.when(text.rlike(p), F.array(_claim("artifact", "assertion", F.lit(s), F.get(_contexts(text, p), F.lit(0))))).otherwise(F.expr(f"CAST(array() AS {CLAIM})")) for s, p in ASSERTIONS.items()]
-    tied = F.transform("_degrees", lambda d: d["inst"])
-    both = lambda x: F.array(_claim("degree", "degree", x["v"]["value"], x["ctx"]), _claim("degree", "degree_institution", x["v"]["inst"], x["ctx"]))
-    parts.append(F.filter(F.flatten(F.transform(zipped(F.col("_degrees"), DEGREE), both)), lambda c: c["value"] != ""))
-    parts.append(F.filter(said("degree", "mentioned_institution", F.col("_places"), INSTITUTION), lambda c: ~F.array_contains(tied, c["value"])))
-    parts.append(said("role", "leadership", leadership(text), LEADERSHIP))
-    parts.append(said("role", "owned_org", owned(text), OWNED))
-    parts.append(said("partnership", "partner_org", partners(text), PARTNER))
-    parts.append(F.transform(zipped(F.col("_traction"), TRACTION), lambda x: _claim("traction", x["v"]["noun"], x["v"]["value"], x["ctx"], x["v"]["negated"])))
-    parts.append(said("timeline", "claimed_experience_years", experience(text), EXPERIENCE))
-    low = lambda y: F.greatest(y["start"] - AROUND, F.lit(0))
-    near = lambda y: F.trim(F.regexp_replace(F.substring(text, low(y) + 1, y["end"] + AROUND - low(y)), r"(?U)\s+", " "))
-    parts.append(F.transform(years(F.col("_masked")), lambda y: _claim("timeline", F.when(y["target"], "year_target").otherwise("year"), y["value"], near(y))))
+    at = {name: f"_at_{name}" for name in [*ARTIFACTS, *_ONCE]}
+    rows = rows.withColumns({at[name]: _found(text, p) for name, p in {**ARTIFACTS, **_ONCE}.items()})
+    m = {name: F.col(c) for name, c in at.items()}
+    blank = _blanked(text, [m[s] for s in ARTIFACTS], m["traction"], m["quantity"])
+    degree = F.arrays_zip(m["degree"].alias("m"), _all(text, DEGREE, 2).alias("field"), _all(text, DEGREE, 3).alias("inst"))
+    some = lambda name, value: F.when(F.size(m[name]) > 0, value).otherwise(F.lit(None))
+    rows = rows.withColumns({"_masked": blank, "_degrees": some("degree", degree)})
+    said = lambda kind, subtype, name, value=lambda x: x["match"]: F.transform(m[name], lambda x: _claim(kind, subtype, value(x), _around(text, x)))
+    parts = [said("artifact", s, s, lambda x: _identifier(x["match"])) for s in ARTIFACTS]
+    parts += [F.when(text.rlike(p), F.array(_claim("artifact", "assertion", F.lit(s), _around(text, F.get(matches(text, p), F.lit(0)))))).otherwise(F.expr(f"CAST(array() AS {CLAIM})")) for s, p in ASSERTIONS.items()]
+    held = F.coalesce("_degrees", F.expr("CAST(array() AS array<struct<m:struct<start:int,end:int,match:string>,field:string,inst:string>>)"))
+    level = lambda x: F.trim(F.concat_ws(" ", x["m"]["match"], F.nullif(F.btrim(x["field"], F.lit(" ,.")), F.lit(""))))
+    both = lambda x: F.array(_claim("degree", "degree", level(x), _around(text, x["m"])), _claim("degree", "degree_institution", F.trim(x["inst"]), _around(text, x["m"])))
+    parts.append(F.filter(F.flatten(F.transform(held, both)), lambda c: c["value"] != ""))
+    tied = F.transform(held, lambda d: F.trim(d["inst"]))
+    parts.append(F.filter(said("degree", "mentioned_institution", "institution", lambda x: F.trim(x["match"])), lambda c: ~F.array_contains(tied, c["value"])))
+    led = F.arrays_zip(m["leadership"].alias("m"), _all(text, LEADERSHIP, 2).alias("o"))
+    parts.append(F.transform(F.filter(led, lambda x: x["m"].isNotNull()), lambda x: _claim("role", "leadership", F.concat(x["m"]["match"], F.lit(" of "), x["o"]), _around(text, x["m"]))))
+    parts += [said("role", "owned_org", "owned_org"), said("partnership", "partner_org", "partner_org")]
+    figures = F.arrays_zip(m["traction"].alias("m"), _all(text, TRACTION, 2).alias("noun"))
+    parts.append(F.transform(F.filter(figures, lambda x: x["m"].isNotNull()), lambda x: _claim("traction", F.lower(x["noun"]), F.concat(F.trim(x["m"]["match"]), F.lit(" "), x["noun"]), _around(text, x["m"]), _nothing(text, x["m"]))))
+    parts.append(said("timeline", "claimed_experience_years", "experience"))
+    parts.append(F.transform(years(F.col("_masked")), lambda y: _claim("timeline", F.when(y["target"], "year_target").otherwise("year"), y["value"], _around(text, y))))
     rows = rows.withColumn("_all", F.concat(*(p.cast(CLAIM) for p in parts)))
-    return rows.withColumn("claims", _distinct(F.col("_all"))).drop("_text", "_degrees", "_masked", "_places", "_traction", "_all")
+    return rows.withColumn("claims", _distinct(F.col("_all"))).drop("_text", "_degrees", "_masked", "_all", *at.values())
 
 
 def claims_by(claims: Column, kind: str | None = None, *subtypes: str) -> Column:
