@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from contextlib import suppress
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -52,6 +55,26 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def lean(run: Run, forget: Callable[[], None] | None = None) -> Run:
+    """run, giving its memory back to the system when a task ends: workers live on and serve other stages.
+
+    forget: a module's function that empties what it keeps between tasks.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        if forget:
+            forget()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 class Scratch:
     """Tables in the shared folder that a computation keeps and drops; with the block, whatever is left goes."""
 

@@ -22,8 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimstead.llm.common import durable
-from claimstead.llm.pieces import library_encoder, pack
+from claimstead.llm.common import durable, lean
+from claimstead.llm.pieces import forget, library_encoder, pack
 
 SEQUENCE = 1024
 OPEN = 512
@@ -86,7 +86,7 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: in
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], _NAMES)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run, forget), _PIECES)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE, places: int = OPEN) -> DataFrame:

@@ -43,13 +43,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimstead.llm.common import Scratch, stored
+from claimstead.llm.common import Scratch, lean, stored
 from claimstead.llm.components import components, joined_components
 
 LEVELS, SPARE = 3, 0.12
 POPULAR = 16
 SHARP = 16
-FLUSH = 2_000_000
+FLUSH = 500_000
 TILE = 2048
 CELL = 64
 PARTITION_BYTES = 32 << 20
@@ -306,8 +306,8 @@ def _staged(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             keys, owner = np.concatenate(held), np.repeat(np.arange(len(nodes)), counts)
-            part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(part * len(nodes) + owner, kind="stable")
+            part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint16 if parts < 1 << 16 else np.int64)
+            order = np.argsort(part, kind="stable")  # owners ascend already
             keys, owner = keys[order].astype(np.uint32), owner[order]
             edges = np.searchsorted(part[order], np.arange(parts + 1))
             table = np.array(nodes)
@@ -374,8 +374,8 @@ def _staged(docs: DataFrame, size: int, percent: int) -> DataFrame:
             yield _rows("member", **{name: c[at : at + 50_000] for name, c in columns.items()})
 
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("th")).mapInArrow(sketch, _STAGED_SQL)
-    return rows.repartition(parts, "part").mapInArrow(match, _STAGED_SQL).drop("part", "keys", "nodes")
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("th")).mapInArrow(lean(sketch), _STAGED_SQL)
+    return rows.repartition(parts, "part").mapInArrow(lean(match), _STAGED_SQL).drop("part", "keys", "nodes")
 
 
 def _stars(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -391,7 +391,7 @@ def _stars(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             ok = may_link(percent, apart, na, nb)
             yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(pa.array(ok)) for c in "ab"), pa.array(apart[ok])], ["a", "b", "apart"])
 
-    near = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, apart long")
+    near = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lean(run), "a long, b long, apart long")
     return near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select("x.a", "b")
 
 
@@ -485,7 +485,7 @@ def _nearest_outside(rows: DataFrame, nodes: DataFrame, apart: DataFrame, percen
         if held:
             yield from pairs(pa.Table.from_batches(held))
 
-    return rows.select(*columns, "sketch", "known").mapInArrow(run, "key long, a long, b long")
+    return rows.select(*columns, "sketch", "known").mapInArrow(lean(run), "key long, a long, b long")
 
 
 def _compared(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -532,9 +532,9 @@ def _compared(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int, pe
                 types = pa.int64(), pa.int64(), pa.bool_()
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["a", "b", "linked"])
 
-    tokens = texts.mapInArrow(sets, "node long, tokens binary").dropDuplicates(["node"])
+    tokens = texts.mapInArrow(lean(sets), "node long, tokens binary").dropDuplicates(["node"])
     seated = seats.join(tokens, "node").repartition("a", "cell").sortWithinPartitions("a", "cell", F.col("node") != F.col("a"))
-    return seated.select("a", "cell", "node", "tokens").mapInArrow(verify, "a long, b long, linked boolean")
+    return seated.select("a", "cell", "node", "tokens").mapInArrow(lean(verify), "a long, b long, linked boolean")
 
 
 def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -102,6 +102,14 @@ def byte_letters() -> list[str]:
 _LOADED: dict[str, PieceEncoder] = {}
 
 
+def forget() -> None:
+    """Lets go of the pieces encoded so far."""
+    for encoder in _LOADED.values():
+        for table in (encoder.first, encoder.rest):
+            table.clear()
+            table.older = {}
+
+
 def library_encoder(path: str) -> PieceEncoder:
     """The tokenizers library's ids for the byte-level vocabulary file at path, without added special tokens."""
     if path not in _LOADED:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimstead.llm.common import durable
+from claimstead.llm.common import durable, lean
 
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("other", "lower", "upper", "digit", "blank", "line end", "sentence mark", "symbol", "non-ASCII", "inside")
@@ -66,6 +66,11 @@ class _Buckets(dict):
 _BUCKET = _Buckets()
 
 
+def forget() -> None:
+    if len(_BUCKET) > 50_000:
+        _BUCKET.clear()
+
+
 class Counts:
     """What the rules count in one text."""
 
@@ -154,7 +159,7 @@ def language_references(docs: DataFrame) -> dict[str | None, Reference]:
             slots = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slots), pa.string()), pa.array(slots, pa.int32()), pa.array(total[slots], pa.int64())], ["lang", "slot", "n"])
 
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(run, "lang string, slot int, n long")
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(lean(run, forget), "lang string, slot int, n long")
     sums = durable(rows.groupBy("lang", "slot").agg(F.sum("n").alias("n")))
     words = sums.where(F.col("slot") < BUCKETS)
     most = words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
@@ -204,7 +209,7 @@ def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], [*keep, *(x.split()[0] for x in COUNTS.split(", "))])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*passed).schema.fields)
-    return inputs.mapInArrow(run, f"{fields}, {COUNTS}")
+    return inputs.mapInArrow(lean(run, forget), f"{fields}, {COUNTS}")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:

@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimstead.llm.common import durable, stored
+from claimstead.llm.common import durable, lean, stored
 from claimstead.llm.induced_sort import equal_from, joined, suffix_order, words_at
 
 LENGTH, GRAM = 200, 64
 HOT = 10_000
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 STEP = 1 << 20
 
 _ODD = 0x9E3779B97F4A7C15
@@ -178,7 +178,7 @@ def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
                     types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
                     yield pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(flat, types, strict=True)], ["th", "n", "place", "h", "c", "until"])
 
-    return texts.select("text", "th", "n").mapInArrow(run, _ANCHORS)
+    return texts.select("text", "th", "n").mapInArrow(lean(run), _ANCHORS)
 
 
 def _ranges(place: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -213,7 +213,7 @@ def _segments(texts: DataFrame, wanted: DataFrame, length: int, gram: int) -> Da
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in _SEGMENTS.split(", ")])
 
     by_text = wanted.groupBy("th", "n").agg(F.collect_list(F.struct("h", "c", "place", "times", "hot")).alias("items"))
-    return texts.select("text", "th", "n").join(by_text, _TEXT).mapInArrow(run, _SEGMENTS)
+    return texts.select("text", "th", "n").join(by_text, _TEXT).mapInArrow(lean(run), _SEGMENTS)
 
 
 def _sorted_shards(segments: DataFrame, length: int) -> DataFrame:
@@ -265,7 +265,7 @@ def _sorted_shards(segments: DataFrame, length: int) -> DataFrame:
         if rows:
             yield from repeats(rows)
 
-    return segments.repartition("h").sortWithinPartitions("h", "c").mapInArrow(run, "th long, n int, start int, end int")
+    return segments.repartition("h").sortWithinPartitions("h", "c").mapInArrow(lean(run), "th long, n int, start int, end int")
 
 
 def _counted_strings(segments: DataFrame, length: int) -> DataFrame:
@@ -284,7 +284,7 @@ def _counted_strings(segments: DataFrame, length: int) -> DataFrame:
                     same = [pa.array(np.full(count, r[k]), t) for k, t in (("th", pa.int64()), ("n", pa.int32()))]
                     yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), *same, pa.array((start + r["first"]).astype(np.int32)), pa.array(np.full(count, r["times"] > 1))], names)
 
-    rows = segments.mapInArrow(run, "u long, v long, th long, n int, place int, many boolean")
+    rows = segments.mapInArrow(lean(run), "u long, v long, th long, n int, place int, many boolean")
     source = F.xxhash64("th", "n", "place")
     twice = rows.groupBy("u", "v").agg(F.min(source).alias("s0"), F.max(source).alias("s1"), F.max("many").alias("some")).where("s0 != s1 or some")
     hit = rows.where("not many").join(twice, ["u", "v"]).select("th", "n", "place").distinct()
@@ -352,4 +352,4 @@ def remove_repeats(docs: DataFrame, keep: list[str], length: int = LENGTH, gram:
 
     fields = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in keep)
     out = f"{fields}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    return texts.join(ranges, _TEXT, "left").select(*keep, "text", "ranges").mapInArrow(run, out)
+    return texts.join(ranges, _TEXT, "left").select(*keep, "text", "ranges").mapInArrow(lean(run), out)
