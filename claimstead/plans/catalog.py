@@ -22,6 +22,7 @@ from claimstead.operators import registries as rg
 from claimstead.operators import report as rp
 from claimstead.operators import scoring as sc
 from claimstead.plans import audit as au
+from claimstead.plans import modes as mo
 from claimstead.plans.expected import EXPECTED
 from claimstead.sources import corpus as co
 from claimstead.sources.shared import durable
@@ -283,6 +284,23 @@ for _p in ("linkedin", "github", "orcid"):
     query(f"read_{_p}")(lambda s, d, p=_p: pf.read_profiles(_profiles(s, d).where(F.col("platform") == p)).drop("body"))
 
 
+# ── names, profiles and pastes as audits ──────────────────────
+def _web(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mo.from_web(co.subjects(spark, sf_dir), _answers(spark, sf_dir))
+
+
+def _addressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _profiles(spark, sf_dir)
+    url = F.when(F.col("platform") == "linkedin", F.concat(F.lit("https://www.linkedin.com/in/p"), F.col("subject_id").cast("string"))).when(F.col("platform") == "github", F.concat(F.lit("https://github.com/p"), F.col("subject_id").cast("string"))).otherwise("https://example.org/none")
+    rows = rows.withColumn("url", url)
+    return mo.from_urls(rows.select("subject_id", F.lit(None).cast("string").alias("subject_name"), "url", F.lit("Pasted besides.").alias("text")), rows.where("platform <> 'orcid'").select("url", "body"))
+
+
+query("web_signals")(lambda s, d: _web(s, d).select("subject_id", "openalex_works", "ambiguous_identity", "search_ok", "n_discarded", F.array_join("providers_failed", "; ").alias("failed"), F.array_join("shared_name", "; ").alias("shared"), F.array_join("wikipedia_about", "; ").alias("about"), F.array_join("source_urls", " ").alias("urls")))
+query("web_audit")(lambda s, d: (r := au.audit(_web(s, d), co.NOW_YEAR)).select("subject_id", F.col("flags")[5]["status"].alias("output"), F.col("flags")[9]["status"].alias("validation")))
+query("profile_subjects")(lambda s, d: _addressed(s, d).select("subject_id", "profile_anchor", "profile_reachable", F.col("source_urls")[0].alias("url"), F.endswith("text", F.lit("Pasted besides.")).alias("pasted")))
+
+
 # ── pasted profiles ──────────────────────────────────────────────────────
 _PASTE = (
     "concat(subject_name, '\\nBuilder of things\\nBrabel, Nowhere\\n500+ connections\\nConnect\\nMessage\\n\\nAbout\\nMakes things.…see more\\n\\nExperience\\nEngineer\\nCorvel · Full-time\\n"
@@ -301,6 +319,7 @@ query("paste_chrome")(lambda s, d: _pastes(s, d).select("subject_id", F.size(F.f
 query("paste_experience")(lambda s, d: ps.parsed(_pastes(s, d), "subject_id").select("subject_id", F.posexplode("profile.experiences").alias("at", "e")).select("subject_id", "at", "e.*"))
 query("paste_education")(lambda s, d: ps.parsed(_pastes(s, d), "subject_id").select("subject_id", F.posexplode("profile.educations").alias("at", "e")).select("subject_id", "at", "e.*"))
 query("paste_skills")(lambda s, d: ps.parsed(_pastes(s, d), "subject_id").select("subject_id", F.array_join("profile.skills", "; ").alias("skills")))
+query("paste_subjects")(lambda s, d: mo.from_pastes(_pastes(s, d)).select("subject_id", "subject_name", "text"))
 query("profile_prose")(lambda s, d: ps.parsed(_pastes(s, d), "subject_id").select("subject_id", ps.prose(F.col("profile")).alias("prose")))
 query("duration_fmt", "SELECT c_custkey AS subject_id, CASE c_custkey % 4 WHEN 0 THEN '6 years 6 months' WHEN 1 THEN '1 year' WHEN 2 THEN '3 months' ELSE '' END AS said FROM customer")(lambda s, d: s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("subject_id"), ps.duration_text(F.expr("CASE c_custkey % 4 WHEN 0 THEN '6 yrs 6 mos' WHEN 1 THEN '1 yr' WHEN 2 THEN '3 mos' ELSE 'now' END")).alias("said")))
 

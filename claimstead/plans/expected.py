@@ -194,3 +194,31 @@ _RAW = "regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<
 _PLAIN = f"replace(replace(replace(replace({_RAW}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 EXPECTED["page_text"] = f"SELECT page_id, substr(regexp_replace(trim({_PLAIN}, ' '), '\\s+', ' ', 'g'), 1, 6000) AS text FROM pages"
 EXPECTED["og_meta"] = "SELECT page_id, '' AS title, '' AS description FROM pages WHERE html NOT LIKE '%og:%'"
+_WEB = "FROM s"
+EXPECTED["web_signals"] = _PV + (
+    "SELECT subject_id, CAST(CASE WHEN k % 4 < 2 THEN greatest(3, k % 9) END AS INTEGER) AS openalex_works, CAST(CASE WHEN k % 4 < 2 THEN 2 END AS INTEGER) AS ambiguous_identity, k % 3 = 0 OR k % 4 < 2 OR k % 5 = 0 OR k % 2 = 0 AS search_ok, "
+    "nullif(CAST((k % 3 = 0)::INT + (k % 2 = 0)::INT AS BIGINT), 0) AS n_discarded, "
+    "concat_ws('; ', CASE WHEN k % 5 <> 0 THEN 'crossref' END, CASE WHEN k % 2 <> 0 THEN 'duckduckgo' END, CASE WHEN k % 4 >= 2 THEN 'openalex' END, CASE WHEN k % 3 = 2 THEN 'wikipedia' END) AS failed, "
+    "CASE WHEN k % 2 = 0 THEN 'a LinkedIn directory page listing multiple people; a people-search listing' ELSE '' END AS shared, CASE WHEN k % 3 = 0 THEN n ELSE '' END AS about, "
+    "concat_ws(' ', CASE WHEN k % 3 = 0 THEN 'https://en.wikipedia.org/wiki/' || url_encode(replace(n, ' ', '_')) END, CASE WHEN k % 4 < 2 THEN 'https://openalex.org/A1 https://openalex.org/A2' END, CASE WHEN k % 5 = 0 THEN 'https://doi.org/10.1/' || k END, CASE WHEN k % 2 = 0 THEN 'https://www.spokeo.com/n http://localhost/x' END) AS urls FROM s"
+)
+# A record of works settles output; an article, or an address that is neither the subject's nor a listing, settles validation.
+EXPECTED["web_audit"] = _PV + (
+    "SELECT subject_id, CASE WHEN k % 4 < 2 OR k % 5 = 0 AND false THEN 'PASSED' ELSE 'UNKNOWN' END AS output, CASE WHEN k % 3 = 0 OR k % 4 < 2 OR k % 5 = 0 OR k % 2 = 0 THEN 'PASSED' ELSE 'UNKNOWN' END AS validation FROM s"
+)
+EXPECTED["profile_subjects"] = f"WITH subjects AS ({co.subjects_sql()}) " + (
+    "SELECT subject_id, CASE subject_id % 3 WHEN 0 THEN 'linkedin:p' ELSE 'github:p' END || subject_id AS profile_anchor, subject_id % 7 <> 0 AS profile_reachable, CASE subject_id % 3 WHEN 0 THEN 'https://www.linkedin.com/in/p' ELSE 'https://github.com/p' END || subject_id AS url, true AS pasted FROM subjects WHERE subject_id % 3 < 2"
+)
+_PASTED = "FROM subjects WHERE subject_id % 3 < 2"
+_SUBJECTS = f"WITH subjects AS ({co.subjects_sql()}) "
+_PROSE = "'Builder of things.' || chr(10) || 'Makes things.' || chr(10) || 'Engineer at Corvel, Jan 2015 - Present (6 years 6 months). Led a team of five.' || chr(10) || 'Clerk at Dunmere, Feb 2010 - Dec 2014 (1 year).' || chr(10) || 'MSc Physics at University of Brabel (2005 - 2009).' || chr(10) || 'Skills: Python, SQL, Education, Planning.'"
+EXPECTED |= {
+    "paste_chrome": _SUBJECTS + "SELECT subject_id, CAST(CASE WHEN subject_id % 3 < 2 THEN 3 ELSE 0 END AS INTEGER) AS n FROM subjects",
+    "paste_experience": _SUBJECTS + f"SELECT subject_id, CAST(0 AS INTEGER) AS at, 'Engineer' AS title, 'Corvel' AS company, 'Jan 2015 - Present' AS date_range, '6 years 6 months' AS duration, 'Brabel, Nowhere' AS location, 'Led a team of five.' AS description {_PASTED} UNION ALL SELECT subject_id, 1, 'Clerk', 'Dunmere', 'Feb 2010 - Dec 2014', '1 year', '', '' {_PASTED}",
+    "paste_education": _SUBJECTS + f"SELECT subject_id, CAST(0 AS INTEGER) AS at, 'University of Brabel' AS institution, 'MSc' AS degree, 'Physics' AS field_of_study, '2005 - 2009' AS years, '' AS description {_PASTED}",
+    "paste_skills": _SUBJECTS + "SELECT subject_id, CASE WHEN subject_id % 3 < 2 THEN 'Python; SQL; Education; Planning' ELSE '' END AS skills FROM subjects",
+    "profile_prose": _SUBJECTS + f"SELECT subject_id, CASE WHEN subject_id % 3 < 2 THEN {_PROSE} ELSE '' END AS prose FROM subjects",
+    "paste_subjects": _SUBJECTS + f"SELECT subject_id, subject_name, CASE WHEN subject_id % 3 < 2 THEN {_PROSE} ELSE text END AS text FROM subjects",
+    "read_github": _SUBJECTS + "SELECT subject_id, 'github' AS platform, 'jan-fictief-1a2b' AS handle, CASE WHEN subject_id % 7 = 0 THEN 'jan-fictief-1a2b' ELSE subject_name END AS name, CASE WHEN subject_id % 7 = 0 THEN '' ELSE 'Builds.' END AS headline, subject_id % 7 <> 0 AS reachable, CASE WHEN subject_id % 7 = 0 THEN '' ELSE 'Builds. Corvel' END AS text FROM subjects WHERE subject_id % 3 = 1",
+    "read_orcid": _SUBJECTS + "SELECT subject_id, 'orcid' AS platform, 'jan-fictief-1a2b' AS handle, '' AS name, '' AS headline, subject_id % 7 <> 0 AS reachable, CASE WHEN subject_id % 7 = 0 THEN '' ELSE subject_name END AS text FROM subjects WHERE subject_id % 3 = 2",
+}
