@@ -90,11 +90,11 @@ def _file(args: argparse.Namespace) -> str:
         return f.read()
 
 
-def interactive(spark: SparkSession, ask=input) -> str:
+def interactive(spark: SparkSession) -> str:
     """Thirteen answers (y: as it should be, n, anything else: unknown) to a verdict."""
     rows = []
     for i, *_ in FLAGS:
-        said = ask(f"[{i}] {WORDING[i][0]} Is all well? (y/n/u) ").strip().lower()[:1]
+        said = input(f"[{i}] {WORDING[i][0]} Is all well? (y/n/u) ").strip().lower()[:1]
         rows.append((i, {"y": PASSED, "n": TRIGGERED}.get(said, UNKNOWN)))
     v = sc.score_table(spark.createDataFrame(rows, "flag_id int, status string").withColumn("subject", F.lit(0)), "subject").first()
     return f"{v['level']}, score {v['score'] if v['scored'] else 'n/a'}, coverage {v['coverage']}%"
