@@ -8,10 +8,10 @@ import os
 TRIGGERED, PASSED, UNKNOWN = "TRIGGERED", "PASSED", "UNKNOWN"
 
 # Words that deny the rest of their clause, and words that deny only what follows at once.
-CLAUSE_NEGATORS = (
-    "no not never without none neither nor cannot cant dont doesnt didnt isnt arent wasnt werent hasnt havent zero 0"
-).split()
-LOCAL_NEGATORS = "lack lacks lacking rather instead unlike avoid avoids avoiding free excluding besides".split()
+CLAUSE_NEGATORS = [
+    "no", "not", "never", "without", "none", "neither", "nor", "cannot", "cant", "dont", "doesnt", "didnt", "isnt", "arent", "wasnt", "werent", "hasnt", "havent", "zero", "0",
+]
+LOCAL_NEGATORS = ["lack", "lacks", "lacking", "rather", "instead", "unlike", "avoid", "avoids", "avoiding", "free", "excluding", "besides"]
 CLAUSE_ENDS = ".;:!?\n•|"
 CLAUSE_TOKENS, LOCAL_TOKENS, LOOK_BACK = 6, 2, 200
 

@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Words of a name that identify nobody, and letters that don't decompose.
-PARTICLES = frozenset(
-    "de del della der den van von vander vande da di du la le el al bin ibn ter ten op st dr prof mr ms mrs phd msc bsc md jr sr ii iii".split()
-)
+PARTICLES = [
+    "de", "del", "della", "der", "den", "van", "von", "vander", "vande", "da", "di", "du", "la", "le", "el", "al", "bin", "ibn", "ter", "ten", "op", "st",
+    "dr", "prof", "mr", "ms", "mrs", "phd", "msc", "bsc", "md", "jr", "sr", "ii", "iii",
+]
 FOLDS = {"ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "æ": "ae", "ı": "i", "ħ": "h", "ŋ": "n"}
 # Words of an organisation's name that identify nothing, and beginnings of words of one meaning.
-ORG_STOPWORDS = frozenset("of the at for and in de des du der die das van von el la le les a an università universite".split())
+ORG_STOPWORDS = [
+    "of", "the", "at", "for", "and", "in", "de", "des", "du", "der", "die", "das", "van", "von", "el", "la", "le", "les", "a", "an", "università", "universite",
+]
 ORG_STEMS = [
     ("universit", "univ"), ("uniwersytet", "univ"), ("universidad", "univ"), ("universidade", "univ"), ("hochschule", "univ"),
     ("institut", "institut"), ("instituto", "institut"), ("polytech", "polytech"), ("politecnico", "polytech"), ("polytechni", "polytech"),
@@ -52,25 +55,28 @@ def tokens(name: str | None) -> set[str]:
     return {w for r in _readings(fold(name)) for w in _telling(_words(r))}
 
 
+def _latin(words) -> bool:
+    return any("a" <= c <= "z" for w in words for c in w)
+
+
 def matched(subject: str | None, candidates: list[str] | None) -> bool | None:
-    """Whether the subject is among the candidates; None where that can't be told."""
-    own = tokens(subject)
-    listed = [fold(c) for c in candidates or () if c and c.strip()]
-    if not own or not listed:
-        return None
-    blob = " ".join(listed)
-    latin = [any("a" <= c <= "z" for c in s) for s in (" ".join(own), blob)]
-    if latin[0] != latin[1]:
+    """Whether the subject is among the candidates; None where that can't be told.
+
+    Two telling words in common say so, and one does where the name has only one. One common word of a longer
+    name says so if it is the first or last and some candidate with it has no telling word that isn't the
+    subject's (the rest is abbreviated); in the middle it says nothing. Names in different scripts can't be compared.
+    """
+    own, order = tokens(subject), _telling(_words(fold(subject)))
+    listed = [{w for r in _readings(fold(c)) for w in _words(r)} for c in candidates or () if c and c.strip()]
+    everything = set().union(*listed)
+    if not own or not listed or _latin(own) != _latin(everything):
         return None
-    there = own & {w for r in _readings(blob) for w in _words(r)}
-    if len(there) >= 2 or len(own) == 1 or not there:
-        return bool(there)
-    word = there.pop()
-    ordered = _telling(_words(fold(subject)))
-    if not ordered or word not in (ordered[0], ordered[-1]):
+    common = own & everything
+    if len(own) == 1 or len(common) != 1:
+        return bool(common)
+    if common.isdisjoint({*order[:1], *order[-1:]}):
         return None
-    sets = ({w for r in _readings(c) for w in _words(r)} for c in listed)
-    return any(word in s and own.issuperset(_telling(sorted(s))) for s in sets)
+    return any(common <= words and own.issuperset(_telling(words)) for words in listed)
 
 
 def org_tokens(name: str | None) -> set[str]:

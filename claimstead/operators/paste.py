@@ -15,11 +15,25 @@ _MONTH = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
 DATES = rf"(?i){_MONTH}\s+\d{{4}}\s*[-–—]\s*(?:{_MONTH}\s+\d{{4}}|Present)(?:\s*·\s*\d+\s*(?:yr|mo|year|month)s?(?:\s+\d+\s*(?:yr|mo|year|month)s?)?)?"
 YEARS = r"(?i)^\d{4}\s*[-–—]\s*(?:\d{4}|Present)$"
 EMPLOYMENT = r"(?i)\s*·\s*(?:Full-time|Part-time|Self-employed|Freelance|Contract|Internship|Apprenticeship|Seasonal|Temporary)\s*$"
-CHROME = (
-    r"^(?:(?i:Message|Follow|Connect|More)$|(?i:\d+\+?\s*connections?)$|(?:1st|2nd|3rd)$|(?i:See all\b)|(?i:Show \d+ more\b)|(?i:\d+\+?\s*endorsements?)$|(?i:People also viewed)$"
-    r"|(?i:Show credential)|(?i:Open to\b)|(?i:Report\s*/\s*Block)$|(?i:Like|Comment|Repost|Send|Agree)$|(?i:Reactions?|Comments?|Reposts?)$|(?i:Mutual connections?)$"
-    r"|(?i:\d+\s*(?:Like|Comment|Repost)s?)$|(?i:(?:\.{2,}|…)see more)$)"
-)
+# Lines that are the page's and not the profile's; each pattern begins where the line does.
+CHROME_LINES = [
+    r"(?i)(?:Message|Follow|Connect|More)$",
+    r"(?i)\d+\+?\s*connections?$",
+    r"(?:1st|2nd|3rd)$",
+    r"(?i)See all\b",
+    r"(?i)Show \d+ more\b",
+    r"(?i)\d+\+?\s*endorsements?$",
+    r"(?i)People also viewed$",
+    r"(?i)Show credential",
+    r"(?i)Open to\b",
+    r"(?i)Report\s*/\s*Block$",
+    r"(?i)(?:Like|Comment|Repost|Send|Agree)$",
+    r"(?i)(?:Reactions?|Comments?|Reposts?)$",
+    r"(?i)Mutual connections?$",
+    r"(?i)\d+\s*(?:Like|Comment|Repost)s?$",
+    r"(?i)(?:\.{2,}|…)see more$",
+]
+CHROME = "^(?:" + "|".join(f"(?:{p})" for p in CHROME_LINES) + ")"
 DURATION = r"(?i)(?:(\d+)\s*(?:yr|year)s?(?:\s+(\d+)\s*(?:mo|month)s?)?|(\d+)\s*(?:mo|month)s?)"
 _LEVEL = (
     r"MSc|M\.Sc\.|BSc|B\.Sc\.|PhD|Ph\.D\.|MBA|MEng|BEng|LLM|LLB|Master(?:'s)?(?:\s+of\s+\w+)?|Bachelor(?:'s)?(?:\s+of\s+\w+)?|Master of Science|Master of Arts"
