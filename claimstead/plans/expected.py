@@ -222,3 +222,9 @@ EXPECTED |= {
     "read_github": _SUBJECTS + "SELECT subject_id, 'github' AS platform, 'jan-fictief-1a2b' AS handle, CASE WHEN subject_id % 7 = 0 THEN 'jan-fictief-1a2b' ELSE subject_name END AS name, CASE WHEN subject_id % 7 = 0 THEN '' ELSE 'Builds.' END AS headline, subject_id % 7 <> 0 AS reachable, CASE WHEN subject_id % 7 = 0 THEN '' ELSE 'Builds. Corvel' END AS text FROM subjects WHERE subject_id % 3 = 1",
     "read_orcid": _SUBJECTS + "SELECT subject_id, 'orcid' AS platform, 'jan-fictief-1a2b' AS handle, '' AS name, '' AS headline, subject_id % 7 <> 0 AS reachable, CASE WHEN subject_id % 7 = 0 THEN '' ELSE subject_name END AS text FROM subjects WHERE subject_id % 3 = 2",
 }
+EXPECTED["batch_csv"] = _AUDIT + f"SELECT subject_name || ',' || level || ',' || coalesce(CAST(score AS VARCHAR), '') || ',' || coverage || ',' || CAST({_SPECIFIC} AS VARCHAR) || ',' || hits || ',2026-01-01T00:00:00' AS line FROM k"
+EXPECTED["report_caveats"] = _AUDIT + (
+    f"SELECT subject_id, concat_ws(chr(10), CASE WHEN {_HAS_HARD} AND NOT verified THEN '1 identifiers could be checked with a registry but were not.' END, CASE WHEN level IN ('GREEN', 'YELLOW') AND NOT verified THEN 'Nothing was checked outside the text: no contradiction found is not corroboration.' END, "
+    f"CASE WHEN coverage < 50 THEN 'Only ' || coverage || '% of the weight could be decided; the score is provisional.' END, CASE WHEN {_SPECIFIC} < 2 AND words >= 40 THEN 'The text is short of details that can be checked.' END) AS caveats FROM k"
+)
+EXPECTED["paste_sections"] = _SUBJECTS + f"SELECT section, CAST(n * (SELECT count(*) {_PASTED}) AS BIGINT) + CASE WHEN section = '_preamble' THEN (SELECT count(*) FROM subjects WHERE subject_id % 3 = 2) ELSE 0 END AS n FROM (VALUES ('_preamble', 7), ('about', 2), ('experience', 11), ('education', 4), ('skills', 4)) v(section, n)"
