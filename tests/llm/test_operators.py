@@ -293,10 +293,10 @@ def families(seed, sizes, copies, ids):
     return rows
 
 
-@pytest.mark.parametrize(("size", "percent", "popular"), [(4, 85, 512), (5, 80, 512), (4, 85, 2), (5, 80, 2), (2, 60, 3)])
+@pytest.mark.parametrize(("size", "percent", "popular"), [(4, 85, 16), (5, 80, 2), (2, 60, 3)])
 def test_parity_join(spark, monkeypatch, size, percent, popular):
     monkeypatch.setattr(parity_join, "POPULAR", popular)
-    monkeypatch.setattr(parity_join, "TILE", 8 if popular < 512 else 2048)
+    monkeypatch.setattr(parity_join, "TILE", 8 if popular < 16 else 2048)
     monkeypatch.setattr(parity_join, "CELL", 3)
     # ids that are null or stand on several rows, copies, blanks, and a line that most documents share
     rows = families(popular, (7, 8, 12, 25, 40, 60, 200, 200, 900), 14, lambda k: None if k % 9 == 0 else k * 3 // 2)
