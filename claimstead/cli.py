@@ -126,13 +126,13 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         parser().print_help()
         return 2
     rows, mode = asked
+    if mode == "profile" and rows.isEmpty():
+        print("not the address of a profile", file=sys.stderr)
+        return 2
     rows = rows.withColumn("verified", F.lit(args.verify))
     now = datetime.datetime.now()
     responses = _table(spark, args, "registry_response", _RESPONSES) if args.verify else None
     done = rp.with_report(au.audit(rows, now.year, responses, read_banks(args.keywords)), now.isoformat(timespec="seconds"), mode).cache()
-    if mode == "profile" and done.isEmpty():
-        print("not the address of a profile", file=sys.stderr)
-        return 2
     if not args.no_save:
         files = rp.report_json(done).join(done.select("subject_id", "report.target", "report.level", "report.score"), "subject_id")
         files.write.mode("append").parquet(f"{args.out}/reports")
