@@ -107,7 +107,7 @@ on_subjects(
     "term_regex", "SELECT " + ", ".join(f"count(*) FILTER (WHERE {_sql_has(t)}) AS {a}" for t, a in (("machine learning", "a"), ("world class", "b"), ("co-founder", "c"), ("arr", "d"))) + " FROM subjects",
     lambda s: s.agg(*(F.count_if(_text().rlike(pattern_of(t))).alias(a) for t, a in (("machine learning", "a"), ("world class", "b"), ("co-founder", "c"), ("arr", "d")))),
 )
-on_subjects("is_negated", None, lambda s: s.select("subject_id", F.posexplode(matches(_text(), pattern_of("customers"))).alias("at", "m")).join(s.select("subject_id", "text"), "subject_id").select("subject_id", F.col("m.start").alias("start"), negated(_text(), F.col("m.start")).alias("negated")))
+on_subjects("is_negated", None, lambda s: s.select("subject_id", "text", F.explode(matches(_text(), pattern_of("customers"))).alias("m")).select("subject_id", F.col("m.start").alias("start"), negated(_text(), F.col("m.start")).alias("negated")))
 on_subjects("has_term", f"SELECT subject_id, {_sql_has('raising')} AS raising FROM subjects", lambda s: s.select("subject_id", _text().rlike(pattern_of("raising")).alias("raising")))
 for _bank in ("leadership_titles", "tech_claims", "buzzwords", "funding_ask", "external_validation"):
     on_subjects(f"find_terms_{_bank}", f"SELECT subject_id, {_sql_list(BANKS[_bank])} AS terms FROM subjects", lambda s, b=_bank: s.select("subject_id", F.array_join(find_terms(_text(), BANKS[b]), "; ").alias("terms")))
