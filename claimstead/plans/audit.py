@@ -15,14 +15,16 @@ from claimstead.sources.shared import durable
 def with_statuses(subjects: DataFrame, responses: DataFrame) -> DataFrame:
     """subjects with claims -> the same, claims with status where the subject is to be verified.
 
-    Only claims that have a registry leave the row: they are looked up and come back by subject and place.
+    Only claims that have a registry leave the row: they are looked up and come back by subject and what is
+    claimed, once for all rows that claim it, so that ids may repeat.
     """
     asked = cl.exploded(subjects.where("verified"), "subject_id", "subject_name").where(F.col("subtype").isin(*rg.CHECKED))
     found = rg.verify_identifiers(asked, responses).unionByName(rg.verify_institutions(asked, responses))
-    found = found.groupBy("subject_id").agg(F.map_from_entries(F.collect_list(F.struct("ord", F.struct("status", "detail", "source")))).alias("_found"))
+    found = found.groupBy("subject_id").agg(F.map_from_entries(F.collect_set(F.struct(F.struct("subject_name", "subtype", "value"), F.struct("status", "detail", "source")))).alias("_found"))
     rows = subjects.join(found, "subject_id", "left")
-    of = lambda i, field, none: F.coalesce(F.try_element_at(F.col("_found"), i)[field], F.lit(none))
-    marked = lambda c, i: c.withField("status", of(i, "status", rg.UNCHECKED)).withField("detail", of(i, "detail", "")).withField("source", of(i, "source", ""))
+    said = lambda c: F.struct("subject_name", c["subtype"].alias("subtype"), c["value"].alias("value"))
+    of = lambda c, field, none: F.coalesce(F.when(F.col("verified"), F.try_element_at(F.col("_found"), said(c))[field]), F.lit(none))
+    marked = lambda c: c.withField("status", of(c, "status", rg.UNCHECKED)).withField("detail", of(c, "detail", "")).withField("source", of(c, "source", ""))
     return rows.withColumn("claims", F.transform("claims", marked)).drop("_found")
 
 
