@@ -17,6 +17,7 @@ import tempfile
 import numpy as np
 
 RESIDENT = 64 << 20
+COMPARED = 1 << 16
 
 
 class SymbolQueue:
@@ -76,7 +77,8 @@ def words_at(text: np.ndarray) -> np.ndarray:
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     out = np.zeros(len(text), np.uint64)
     for k in range(8):
-        out = out << np.uint64(8) | padded[k : k + len(text)]
+        out <<= np.uint64(8)
+        out |= padded[k : k + len(text)]
     return out
 
 
@@ -85,36 +87,40 @@ def _refined(rank: np.ndarray, members: np.ndarray, by: np.ndarray) -> np.ndarra
 
     A rank is the number of elements in smaller groups.
     """
-    order = np.lexsort((by, rank[members]))
+    order = np.lexsort((by, rank[members])).astype(np.int32)
     members, by = members[order], by[order]
+    del order
     old = rank[members]
-    at = np.arange(len(members))
     group = np.ones(len(members), bool)
     group[1:] = old[1:] != old[:-1]
     part = group.copy()
     part[1:] |= by[1:] != by[:-1]
-    first, own = np.maximum.accumulate(np.where(group, at, 0)), np.maximum.accumulate(np.where(part, at, 0))
-    rank[members] = old + own - first
-    alone = part.copy()
-    alone[:-1] &= part[1:]
+    del by
+    at = np.arange(len(members), dtype=np.int32)
+    old += np.maximum.accumulate(np.where(part, at, np.int32(0)))
+    old -= np.maximum.accumulate(np.where(group, at, np.int32(0)))
+    rank[members] = old
+    alone = part
+    alone[:-1] &= part[1:].copy()
     return members[~alone]
 
 
 def _s_star_order(text: np.ndarray, stars: np.ndarray, words: np.ndarray) -> np.ndarray:
     """The S* suffixes in order; those of separators come first, by place, and equal no other."""
-    ends = np.append(stars[1:] + 1, len(text))
-    lengths = ends - stars
-    separator = text[stars] == 0
-    first = words[stars]
-    short = np.clip(8 - lengths, 0, 7).astype(np.uint64) * np.uint64(8)
-    first = first | ((np.uint64(1) << short) - np.uint64(1))  # a name that is another's beginning is the larger
+    lengths = np.append(stars[1:] + 1, len(text)).astype(np.int32) - stars
     n = len(stars)
-    rank = np.zeros(n, np.int64)
-    own = np.flatnonzero(separator)
+    rank = np.zeros(n, np.int32)
+    separator = text[stars] == 0
+    own, others = (np.flatnonzero(x).astype(np.int32) for x in (separator, ~separator))
     rank[own] = np.arange(len(own))
-    others = np.flatnonzero(~separator)
     rank[others] = len(own)
-    open_ = _refined(rank, others, first[others])
+    del separator, own
+    first = words[stars[others]]
+    short = np.clip(8 - lengths[others], 0, 7).astype(np.uint8) * np.uint8(8)
+    first |= (np.uint64(1) << short) - np.uint64(1)  # a name that is another's beginning is the larger
+    del short
+    open_ = _refined(rank, others, first)
+    del first, others
     chunk = 8
     while len(open_):
         longer = lengths[open_] > chunk
@@ -131,23 +137,36 @@ def _s_star_order(text: np.ndarray, stars: np.ndarray, words: np.ndarray) -> np.
         chunk += 8
     # the string of names: suffixes by their first 1, 2, 4 ... names
     size = np.bincount(rank, minlength=n)
-    open_, step = np.flatnonzero(size[rank] > 1), 1
+    open_, step = np.flatnonzero(size[rank] > 1).astype(np.int32), 1
+    del size
     while len(open_):
         open_ = _refined(rank, open_, rank[np.minimum(open_ + step, n - 1)])
         step *= 2
-    order = np.empty(n, np.int64)
-    order[rank] = np.arange(n)
+    order = np.empty(n, np.int32)
+    order[rank] = np.arange(n, dtype=np.int32)
     return stars[order]
 
 
-def suffix_order(text: np.ndarray, words: np.ndarray, resident: int = RESIDENT) -> np.ndarray:
-    """The places of all suffixes that don't begin with a separator, in order; the text is as of joined()."""
-    starts = np.concatenate([[0], np.flatnonzero(text[1:] != text[:-1]) + 1])
-    symbols = text[starts]
-    s_run = np.append(symbols[1:] > symbols[:-1], True)
-    is_s = np.repeat(s_run, np.diff(np.append(starts, len(text))))
-    stars = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
-    stars = _s_star_order(text, stars, words).astype(np.int32)
+def _s_types(text: np.ndarray) -> np.ndarray:
+    """Whether the suffix at each place is S; equal symbols in a row take the type of the last of them."""
+    is_s = np.ones(len(text), bool)
+    is_s[:-1] = text[:-1] < text[1:]
+    equal = np.flatnonzero(text[:-1] == text[1:])
+    if len(equal):
+        last = equal[np.append(np.diff(equal) > 1, True)] + 1
+        is_s[equal] = is_s[last[np.searchsorted(last, equal)]]
+    return is_s
+
+
+def suffix_order(text: np.ndarray, words: np.ndarray, wanted: np.ndarray | None = None, resident: int = RESIDENT) -> np.ndarray:
+    """The places of all suffixes that don't begin with a separator, in order; the text is as of joined().
+
+    wanted: a boolean for each place, where only some suffixes are of interest.
+    """
+    is_s = _s_types(text)
+    stars = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(np.int32)
+    del is_s
+    stars = _s_star_order(text, stars, words)
     bounds = np.searchsorted(text[stars], np.arange(257))
     smaller: list[list[np.ndarray]] = [[] for _ in range(256)]
     queue = SymbolQueue(256, resident)
@@ -161,12 +180,17 @@ def suffix_order(text: np.ndarray, words: np.ndarray, resident: int = RESIDENT)
             batch = before[symbol == c]
         before = stars[bounds[c] : bounds[c + 1]] - 1
         queue.push(before, text[before])
+    del stars
+
+    def of_interest(suffixes: np.ndarray) -> np.ndarray:
+        return suffixes if wanted is None else suffixes[wanted[suffixes]]
+
     larger: list[list[np.ndarray]] = [[] for _ in range(256)]
     queue = SymbolQueue(256, resident)
     for c in range(255, 0, -1):
         batch = queue.pop(c)
         while len(batch):
-            larger[c].append(batch)
+            larger[c].append(of_interest(batch))
             before = batch[batch > 0] - 1
             symbol = text[before]
             queue.push(before[symbol < c], symbol[symbol < c])
@@ -176,19 +200,20 @@ def suffix_order(text: np.ndarray, words: np.ndarray, resident: int = RESIDENT)
             before = before[before > 0] - 1
             symbol = text[before]
             queue.push(before[symbol < c], symbol[symbol < c])
+        smaller[c] = [of_interest(part) for part in smaller[c]]
     parts = [p for c in range(1, 256) for p in (*smaller[c], *(x[::-1] for x in reversed(larger[c])))]
     return np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
 
 def equal_from(words: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
     """Whether the suffixes at a and b, both that long at least, have a common prefix of length."""
-    same = np.ones(len(a), bool)
-    left = np.arange(len(a))
-    for at in range(0, length, 8):
-        drop = np.uint64(8 * max(0, at + 8 - length))
-        left = left[words[a[left] + at] >> drop == words[b[left] + at] >> drop]
-        if not len(left):
-            break
-    same[:] = False
-    same[left] = True
+    same = np.zeros(len(a), bool)
+    for low in range(0, len(a), COMPARED):
+        left = np.arange(low, min(low + COMPARED, len(a)))
+        for at in range(0, length, 8):
+            drop = np.uint64(8 * max(0, at + 8 - length))
+            left = left[words[a[left] + at] >> drop == words[b[left] + at] >> drop]
+            if not len(left):
+                break
+        same[left] = True
     return same

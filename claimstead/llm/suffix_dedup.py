@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ from claimstead.llm.induced_sort import equal_from, joined, suffix_order, words_
 
 LENGTH, GRAM = 200, 64
 HOT = 10_000
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 STEP = 1 << 20
 
 _ODD = 0x9E3779B97F4A7C15
@@ -181,13 +182,6 @@ def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return texts.select("text", "th", "n").mapInArrow(lean(run), _ANCHORS)
 
 
-def _ranges(place: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Merged ranges of the strings that start at the given places, ascending."""
-    cut = np.flatnonzero(np.diff(place) > length) + 1
-    firsts, lasts = place[np.concatenate([[0], cut])], place[np.concatenate([cut - 1, [len(place) - 1]])]
-    return [(int(a), int(b) + length) for a, b in zip(firsts, lasts, strict=True)]
-
-
 _SEGMENTS = "h long, c long, th long, n int, first int, times long, hot boolean, data binary"
 
 
@@ -216,54 +210,77 @@ def _segments(texts: DataFrame, wanted: DataFrame, length: int, gram: int) -> Da
     return texts.select("text", "th", "n").join(by_text, _TEXT).mapInArrow(lean(run), _SEGMENTS)
 
 
+def _repeats(contexts: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
+    """Ranges (th, n, start, end) of repeats among the contexts of a shard.
+
+    Its arrays decide what a task takes beside the JVM: they are of 32 bits where that is enough, and strings
+    that are too short or alone leave as soon as that is known.
+    """
+    rows = {name: contexts.column(name).to_numpy() for name in ("th", "n", "first", "times")}
+    data = contexts.column("data").to_pylist()
+    sizes = np.array([len(x) for x in data], np.int32)
+    text = joined(data)
+    del data
+    starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]).astype(np.int32)
+    wanted = np.zeros(len(text), bool)  # where a string of the length starts
+    for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
+        wanted[start : start + max(0, size - length + 1)] = True
+    words = words_at(text)
+    order = suffix_order(text, words, wanted)
+    del text, wanted
+    if len(order) < 2:
+        return
+    same = equal_from(words, order[:-1], order[1:], length)
+    del words
+    after, before = np.append(False, same), np.append(same, False)
+    order, heads = order[after | before], np.flatnonzero(~after[after | before])
+    if not len(order):
+        return
+    segment = (np.searchsorted(starts, order, side="right") - 1).astype(np.int32)
+    first = rows["first"][segment] + order - starts[segment]
+    del order, same, after, before
+    source = _mixed(rows["th"].view(np.uint64)[segment] + first.astype(np.uint64) * np.uint64(_ODD))
+    many = (rows["times"] > 1)[segment]
+    twice = (np.minimum.reduceat(source, heads) != np.maximum.reduceat(source, heads)) | np.logical_or.reduceat(many, heads)
+    del source
+    hit = np.repeat(twice, np.diff(np.append(heads, len(many)))) & ~many
+    segment, first = segment[hit], first[hit]
+    if not len(segment):
+        return
+    by = np.lexsort((first, segment))
+    segment, first = segment[by], first[by]
+    begins = np.append(True, (segment[1:] != segment[:-1]) | (first[1:] - first[:-1] > length))
+    at = segment[begins]
+    columns = rows["th"][at], rows["n"][at], first[begins], first[np.append(begins[1:], True)] + length
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    yield pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, types, strict=True)], ["th", "n", "start", "end"])
+
+
 def _sorted_shards(segments: DataFrame, length: int) -> DataFrame:
     """Ranges (th, n, start, end) of repeats among contexts with the same anchor."""
-    names = ["th", "n", "start", "end"]
-
-    def repeats(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        text = joined([r["data"] for r in rows])
-        words = words_at(text)
-        sizes = np.array([len(r["data"]) for r in rows])
-        starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-        order = suffix_order(text, words)
-        segment = np.searchsorted(starts, order, side="right") - 1
-        valid = starts[segment] + sizes[segment] - order >= length
-        order, segment = order[valid].astype(np.int64), segment[valid]
-        if len(order) < 2:
-            return
-        same = equal_from(words, order[:-1], order[1:], length)
-        group = np.concatenate([[0], np.cumsum(~same)])
-        first = np.array([r["first"] for r in rows])[segment] + order - starts[segment]
-        source = _mixed(np.array([r["th"] for r in rows], np.int64).view(np.uint64)[segment] + first.astype(np.uint64) * np.uint64(_ODD))
-        many = np.array([r["times"] > 1 for r in rows])
-        heads = np.flatnonzero(np.concatenate([[True], ~same]))
-        twice = (np.minimum.reduceat(source, heads) != np.maximum.reduceat(source, heads)) | np.logical_or.reduceat(many[segment], heads)
-        hit = twice[group] & ~many[segment]
-        order, segment, first = order[hit], segment[hit], first[hit]
-        out, by = [], np.lexsort((first, segment))
-        segment, first = segment[by], first[by]
-        for part in np.split(np.arange(len(segment)), np.flatnonzero(np.diff(segment)) + 1) if len(segment) else []:
-            r = rows[segment[part[0]]]
-            out += [(r["th"], r["n"], a, b) for a, b in _ranges(first[part], length)]
-        if out:
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size, last = [], 0, None
+        held, size, last = [], 0, None
         for batch in batches:
-            for r in batch.to_pylist():
-                key = r["h"], r["c"]
-                if key == last:
-                    continue
-                if size >= SHARD_BYTES and r["h"] != last[0]:
-                    yield from repeats(rows)
-                    rows, size = [], 0
-                rows.append(r)
-                size += len(r["data"])
-                last = key
-        if rows:
-            yield from repeats(rows)
+            if not batch.num_rows:
+                continue
+            h, c = (batch.column(name).to_numpy() for name in "hc")
+            new_h = np.append(last is None or last[0] != h[0], h[1:] != h[:-1])
+            new = new_h | np.append(last is None or last[1] != c[0], c[1:] != c[:-1])
+            last = h[-1], c[-1]
+            batch, new_h = batch.filter(pa.array(new)), new_h[new]
+            ends = np.cumsum(pc.binary_length(batch.column("data")).to_numpy(), dtype=np.int64)
+            edges, at, done = np.flatnonzero(new_h), 0, 0
+            for edge in edges[edges > 0].tolist() if not held else edges.tolist():
+                before = int(ends[edge - 1]) if edge else 0
+                if size + before - done >= SHARD_BYTES:
+                    shard = pa.Table.from_batches([*held, batch.slice(at, edge - at)])
+                    held, size, at, done = [], 0, edge, before
+                    yield from _repeats(shard, length)
+            held.append(batch.slice(at))
+            size += int(ends[-1]) - done if len(ends) else 0
+        if held:
+            yield from _repeats(pa.Table.from_batches(held), length)
 
     return segments.repartition("h").sortWithinPartitions("h", "c").mapInArrow(lean(run), "th long, n int, start int, end int")
 

@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -404,3 +406,65 @@ def test_induced_order():
         end = lambda i: ends[np.searchsorted(ends, i)]  # noqa: B023, E731
         expected = sorted((i for i in range(len(text)) if text[i]), key=lambda i: (text[i : end(i)].tobytes() + b"\0", end(i)))
         assert list(induced_sort.suffix_order(text, induced_sort.words_at(text), resident=rnd.choice([1, 1 << 20]))) == expected
+
+
+def test_induced_order_of_some_places():
+    for trial in range(40):
+        text = induced_sort.joined([bytes(rnd.choice(b"aab") for _ in range(rnd.randrange(1, 40))) for _ in range(rnd.randrange(1, 8))])
+        wanted = np.array([rnd.random() < 0.5 for _ in text])
+        words = induced_sort.words_at(text)
+        whole = induced_sort.suffix_order(text, words)
+        assert list(induced_sort.suffix_order(text, words, wanted)) == [i for i in whole if wanted[i]]
+
+
+class _Contexts:
+    """Stands for the table of contexts, to run what its tasks run in this process."""
+
+    def repartition(self, *columns):
+        return self
+
+    sortWithinPartitions = repartition  # noqa: N815
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+def _context_batches(anchors, each, shared, rows):
+    """Contexts of 336 bytes, a few to an anchor; those of one anchor have their middle in common."""
+    r, out = random.Random(8), []
+    letters = bytes(range(97, 123)) + b"  "
+    some = lambda n: bytes(r.choices(letters, k=n))
+    for h in range(anchors):
+        middle, side = some(shared), (336 - shared) // 2
+        for c in range(each):
+            edge = bytes([65 + c])
+            out.append((h, c, h * each + c, 5000, 7, 1, False, some(side - 1) + edge + middle + edge + some(335 - shared - side)))
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+    table = pa.Table.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["h", "c", "th", "n", "first", "times", "hot", "data"])
+    return table.to_batches(max_chunksize=rows)
+
+
+def test_shard_sort_is_frugal():
+    batches = _context_batches(4000, 5, 240, 10_000)  # 6.4 MiB
+    run = suffix_dedup._sorted_shards(_Contexts(), 200)
+    list(run(iter(batches[:1])))  # whatever is imported or made once
+    tracemalloc.start()
+    try:
+        found = sum((b.num_rows for b in run(iter(batches))), 0)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == 20_000
+    assert peak < 64 << 20
+
+
+def test_shards_do_not_depend_on_batches(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 2000)
+    found = []
+    for rows in (1, 3, 7, 1000):
+        run = suffix_dedup._sorted_shards(_Contexts(), 200)
+        batches = _context_batches(12, 4, 250, rows)
+        twice = [b for batch in batches for b in (batch, batch.slice(batch.num_rows - 1))]  # a row of a copy follows
+        found.append(sorted(tuple(r.values()) for b in run(iter(twice)) for r in b.to_pylist()))
+    assert found[0] == [(k, 5000, 7 + 43, 7 + 43 + 250) for k in range(48)]
+    assert all(x == found[0] for x in found)
